@@ -16,7 +16,7 @@ from sparkloom.llm.queries import tokenizer_path
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier doesn't call toxic."""
-    return toxicity.scored(docs, table(spark, sf_dir, "labels"), keep=True).filter(F.col("predicted") == 0).drop("score", "predicted")
+    return toxicity.clean(docs, table(spark, sf_dir, "labels"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -139,16 +139,16 @@ def shares(docs: DataFrame) -> DataFrame:
 def mixed(docs: DataFrame) -> DataFrame:
     """The mix itself, with the columns of ``docs``: a document once for each round in which it is taken whole, and
     once with the words of its chosen blocks, if that isn't all or nothing."""
-    kept = docs.columns
-    sized = docs.withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("source", F.col("source").cast("string")).withColumn("size", n_tokens(F.col("text")))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
+    text = F.col("text").cast("string")
+    sized = docs.select(row, text.alias("text"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), n_tokens(text).alias("size"))
     plan = planned(sized, sizes(docs)).filter("size > 0").withColumn("_extra", F.expr(EXTRA)).withColumn("_rounds", F.expr(ROUNDS))
     plan = plan.withColumn("_whole", F.expr("_rounds + if(_extra = size, 1L, 0L)")).withColumn("_part", F.expr("_extra > 0 and _extra < size"))
     copies = F.expr("concat(array_repeat(true, cast(_whole as int)), array_repeat(false, if(_part, 1, 0)))")
-    words = F.expr(f"regexp_extract_all(text, r'({WORDS})', 1)")
+    words = F.regexp_extract_all("text", F.lit(f"({WORDS})"), F.lit(1))
     blocks = F.expr(f"filter({_RANGE}, b -> {_chosen('b')} and {_OVERLAP} > 0)")
     part = F.expr(f"array_join(flatten(transform(_chosen, b -> slice(_words, cast(greatest(b * _tokens div _blocks - _start, 0L) + 1 as int), cast({_OVERLAP} as int)))), ' ')")
     out = plan.withColumn("_copy", F.explode(copies)).withColumn("_words", F.when(~F.col("_copy"), words)).withColumn("_chosen", F.when(~F.col("_copy"), blocks))
     out = out.withColumn("text", F.when(F.col("_copy"), F.col("text")).otherwise(part))
-    if "n_chars" in kept:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*[F.col(c).cast(docs.schema[c].dataType) for c in kept])
+    new = {"text": F.col("text"), "n_chars": F.length("text")}
+    return out.select(*[new.get(f.name, F.col("_row")[f.name]).cast(f.dataType).alias(f.name) for f in docs.schema])

@@ -96,28 +96,44 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return np.asarray(got.column("i"), dtype=np.int64), np.asarray(got.column("w"), dtype=np.float64)
 
 
-def scored(docs: DataFrame, labels: DataFrame, keep: bool = False) -> DataFrame:
-    """(doc_id, held_out, score, predicted) of every row; keep: all columns of ``docs`` with score and predicted."""
-    index, weights = fit(docs, labels)
-    model = docs.sparkSession.sparkContext.broadcast((index, weights))
+def _scores(batch: pa.RecordBatch, index: np.ndarray, dense: np.ndarray):
+    """(first row, end row, scores) of slices of a batch."""
+    for row, end, data, offsets in slices(batch, "text"):
+        found, owner = _features(data, offsets)
+        hit = dense[found] != 0
+        pairs = np.unique(owner[hit] * SPACE + found[hit])
+        total = dense[_INTERCEPT] + np.bincount(pairs // SPACE, dense[pairs % SPACE], minlength=end - row)
+        yield row, end, 1 / (1 + np.exp(-np.clip(total, -35, 35))) if len(index) else np.zeros(end - row)
+
+
+def _dense(model: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    dense = np.zeros(SPACE)
+    dense[model[0]] = model[1]
+    return dense
+
+
+def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(doc_id, held_out, score, predicted) of every row."""
+    model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
 
     def run(batches):
-        index_, weights_ = model.value
-        dense = np.zeros(SPACE)
-        dense[index_] = weights_
+        dense = _dense(model.value)
         for batch in batches:
-            for row, end, data, offsets in slices(batch, "text"):
-                found, owner = _features(data, offsets)
-                hit = dense[found] != 0
-                pairs = np.unique(owner[hit] * SPACE + found[hit])
-                total = dense[_INTERCEPT] + np.bincount(pairs // SPACE, dense[pairs % SPACE], minlength=end - row)
-                score = 1 / (1 + np.exp(-np.clip(total, -35, 35))) if len(index_) else np.zeros(end - row)
-                part = batch.slice(row, end - row)
-                out = list(part.columns) if keep else [part.column("doc_id")]
-                names = list(part.schema.names) if keep else ["doc_id"]
-                yield pa.RecordBatch.from_arrays([*out, pa.array(score), pa.array((score >= THRESHOLD).astype(np.int32))], [*names, "score", "predicted"])
-
-    base = docs if keep else docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema) if keep else "doc_id long"
-    out = base.mapInArrow(run, f"{fields}, score double, predicted int")
-    return out if keep else out.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", "predicted")
+            for row, end, score in _scores(batch, model.value[0], dense):
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(row, end - row), pa.array(score), pa.array((score >= THRESHOLD).astype(np.int32))], ["doc_id", "score", "predicted"])
+
+    out = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, score double, predicted int")
+    return out.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", "predicted")
+
+
+def clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of ``docs``, whole, whose score is under THRESHOLD."""
+    model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
+
+    def run(batches):
+        dense = _dense(model.value)
+        for batch in batches:
+            for row, end, score in _scores(batch, model.value[0], dense):
+                yield batch.slice(row, end - row).filter(pa.array(score < THRESHOLD))
+
+    return docs.mapInArrow(run, docs.schema)
