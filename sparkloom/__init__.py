@@ -1,0 +1,3 @@
+"""sparkloom: an analytics engine on Spark DataFrames, Spark SQL and Structured Streaming."""
+
+__version__ = "0.1.0"
