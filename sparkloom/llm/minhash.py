@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,6 +27,8 @@ from sparkloom.llm.common import NOT_SPACE, U64, components, gram_hashes, mix, s
 
 BANDS = 30
 BLOCK_MEMBERS, BLOCK_BYTES = 1000, 24 << 20
+#: Largest Bloom filter of the ids whose sets are compared; with more ids than it takes, texts are shuffled to them.
+NEED_BITS = 1 << 26
 _SLAB = 2048
 
 
@@ -92,9 +95,40 @@ def signatures(docs: DataFrame, words: int, threshold: float) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_shingles long, set_key binary, bands array<long>")
 
 
-def _sets(docs: DataFrame, words: int) -> DataFrame:
+def _places(ids: np.ndarray, bits: int) -> np.ndarray:
+    """Two bits for each id."""
+    h = mix(ids.view(np.uint64))
+    return (np.stack([h, mix(h)]) & U64(bits - 1)).astype(np.int64)
+
+
+def _bitmap(ids: DataFrame, count: int) -> np.ndarray:
+    """A Bloom filter of up to NEED_BITS bits: tasks set bits, Spark ors the words, and the words come here."""
+    bits = 1 << max(12, (16 * count).bit_length())
+
+    def run(batches):
+        for batch in batches:
+            at = np.unique(_places(np.asarray(batch.column("rep")), bits))
+            word, start = np.unique(at >> 6, return_index=True)
+            value = np.bitwise_or.reduceat(U64(1) << (at & 63).astype(np.uint64), start) if len(at) else np.empty(0, U64)
+            yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(value.view(np.int64))], ["word", "value"])
+
+    got = ids.mapInArrow(run, "word long, value long").groupBy("word").agg(F.bit_or("value").alias("value")).toArrow()
+    out = np.zeros(bits >> 6, U64)
+    out[np.asarray(got["word"])] = np.asarray(got["value"]).view(np.uint64)
+    return out
+
+
+def _sets(docs: DataFrame, words: int, bitmap: np.ndarray | None = None) -> DataFrame:
+    """(rep, shingles) of the texts of ``docs`` (rep, text), of those whose id the bitmap passes if there is one."""
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap)
+
     def run(batches):
+        held = shared.value
         for batch in batches:
+            if held is not None:
+                batch = batch.filter(pc.is_valid(batch.column("rep")))
+                at = _places(np.asarray(batch.column("rep")).astype(np.int64), len(held) << 6)
+                batch = batch.filter(pa.array(((held[at >> 6] >> (at & 63).astype(np.uint64)) & U64(1)).astype(bool).all(0)))
             for row, end, data, offsets in slices(batch, "text"):
                 sets = [s.tobytes() for s in shingle_sets(data, offsets, words)]
                 yield pa.RecordBatch.from_arrays([batch.column("rep").slice(row, end - row), pa.array(sets, pa.binary())], ["rep", "shingles"])
@@ -155,7 +189,7 @@ def links(docs: DataFrame, sig: DataFrame, words: int, threshold: float) -> Data
     """(a, b): edges between classes of equal sets whose components are those of all links. sig: signatures(), written."""
     classes = sig.filter("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("doc_id"))
     rep = sig.join(classes, ["set_key", "doc_id"], "left_semi").select(F.col("doc_id").alias("rep"), "n_shingles", F.explode("bands").alias("band"))
-    rep = rep.filter("rep is not null").groupBy("rep", "band").agg(F.max("n_shingles").alias("n"))
+    rep = rep.filter("rep is not null").select("rep", "band", F.col("n_shingles").alias("n"))
     buckets = rep.groupBy("band").agg(F.min("rep").alias("pivot"), F.count("*").alias("members")).filter("members > 1")
     met = written(rep.join(buckets, "band").groupBy("pivot", "rep").agg(F.max("n").alias("n")), "met")
     blocks = met.groupBy("pivot").agg(F.greatest(F.ceil(F.count("*") / F.lit(BLOCK_MEMBERS)), F.ceil(F.sum("n") * 8 / F.lit(BLOCK_BYTES))).alias("blocks"))
@@ -163,8 +197,12 @@ def links(docs: DataFrame, sig: DataFrame, words: int, threshold: float) -> Data
     lanes = F.expr("transform(sequence(0L, blocks - 1), x -> struct(least(x, own) as low, greatest(x, own) as high))")
     dealt = met.join(blocks, "pivot").withColumn("own", own).select("pivot", "rep", "own", F.explode(lanes).alias("at")).select("pivot", "rep", "own", "at.low", "at.high")
     need = met.select("rep").distinct()
-    whole = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string")).join(need, "rep", "left_semi")
-    sets = _sets(whole, words)
+    whole = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string"))
+    count = need.count()
+    if count * 16 <= NEED_BITS:
+        sets = _sets(whole, words, _bitmap(need, count))  # the join below drops what the bitmap passes wrongly
+    else:
+        sets = _sets(whole.join(need, "rep", "left_semi"), words)
     percent = round(100 * threshold)
 
     def run(batches):
