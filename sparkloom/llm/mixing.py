@@ -120,8 +120,10 @@ def _chosen(block: str) -> str:
 #: SQL: words of a document in block b of its shard; the blocks that it may lie in; whole rounds; words taken beyond them.
 _OVERLAP = "greatest(least(_start + size, (b + 1) * _tokens div _blocks) - greatest(_start, b * _tokens div _blocks), 0L)"
 _RANGE = "sequence(greatest(_start * _blocks div _tokens - 1, 0L), least((_start + size) * _blocks div _tokens + 1, _blocks - 1))"
-ROUNDS = "_quota div _blocks"
-EXTRA = f"aggregate({_RANGE}, 0L, (acc, b) -> acc + if({_chosen('b')}, {_OVERLAP}, 0L))"
+ROUNDS = "if(size = 0, 0L, _quota div _blocks)"
+EXTRA = f"if(size = 0, 0L, aggregate({_RANGE}, 0L, (acc, b) -> acc + if({_chosen('b')}, {_OVERLAP}, 0L)))"
+#: SQL: the block that word i of a document lies in.
+_BLOCK = "(((_start + i + 1) * _blocks - 1) div _tokens)"
 
 
 def sizes(docs: DataFrame) -> DataFrame:
@@ -132,7 +134,7 @@ def sizes(docs: DataFrame) -> DataFrame:
 def shares(docs: DataFrame) -> DataFrame:
     """(doc_id, size, source_size, target, taken) of every row of ``docs``."""
     slim = sizes(docs)
-    taken = F.expr(f"if(size = 0, 0L, {ROUNDS} * size + {EXTRA})")
+    taken = F.expr(f"{ROUNDS} * size + {EXTRA}")
     return planned(slim, slim).select("doc_id", "size", "source_size", "target", taken.alias("taken"))
 
 
@@ -142,13 +144,11 @@ def mixed(docs: DataFrame) -> DataFrame:
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
     text = F.col("text").cast("string")
     sized = docs.select(row, text.alias("text"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), n_tokens(text).alias("size"))
-    plan = planned(sized, sizes(docs)).filter("size > 0").withColumn("_extra", F.expr(EXTRA)).withColumn("_rounds", F.expr(ROUNDS))
-    plan = plan.withColumn("_whole", F.expr("_rounds + if(_extra = size, 1L, 0L)")).withColumn("_part", F.expr("_extra > 0 and _extra < size"))
-    copies = F.expr("concat(array_repeat(true, cast(_whole as int)), array_repeat(false, if(_part, 1, 0)))")
-    words = F.regexp_extract_all("text", F.lit(f"({WORDS})"), F.lit(1))
-    blocks = F.expr(f"filter({_RANGE}, b -> {_chosen('b')} and {_OVERLAP} > 0)")
-    part = F.expr(f"array_join(flatten(transform(_chosen, b -> slice(_words, cast(greatest(b * _tokens div _blocks - _start, 0L) + 1 as int), cast({_OVERLAP} as int)))), ' ')")
-    out = plan.withColumn("_copy", F.explode(copies)).withColumn("_words", F.when(~F.col("_copy"), words)).withColumn("_chosen", F.when(~F.col("_copy"), blocks))
+    plan = planned(sized, sizes(docs)).withColumn("_extra", F.expr(EXTRA)).withColumn("_rounds", F.expr(ROUNDS))
+    whole, some = F.expr("_rounds + if(size > 0 and _extra = size, 1L, 0L)"), F.expr("_extra > 0 and _extra < size")
+    copies = F.concat(F.array_repeat(F.lit(True), whole.cast("int")), F.array_repeat(F.lit(False), F.when(some, 1).otherwise(0)))
+    out = plan.withColumn("_copy", F.explode(copies))
+    part = F.expr(f"array_join(filter(regexp_extract_all(text, r'({WORDS})', 1), (w, i) -> {_chosen(_BLOCK)}), ' ')")
     out = out.withColumn("text", F.when(F.col("_copy"), F.col("text")).otherwise(part))
     new = {"text": F.col("text"), "n_chars": F.length("text")}
     return out.select(*[new.get(f.name, F.col("_row")[f.name]).cast(f.dataType).alias(f.name) for f in docs.schema])
