@@ -6,6 +6,8 @@ is a few nanoseconds a byte and their memory is bounded by ``CHUNK_BYTES`` (or b
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import functools
 import tempfile
 import uuid
@@ -16,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 U64 = np.uint64
 
 
@@ -42,6 +44,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def trim() -> None:
+    """Gives freed memory back at the end of a task; workers live on, and executors count what they hold."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 # --- texts in Arrow batches ------------------------------------------------------------------------------
 def text_buffer(column) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string column; a null is an empty text."""
@@ -126,7 +135,7 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     """64-bit hashes of the words with A-Z lower-cased, from one prefix array of a polynomial over the bytes."""
     if not len(starts):
         return np.empty(0, U64)
-    size = 1 << max(20, int(len(data)).bit_length())
+    size = 1 << max(19, int(len(data)).bit_length())
     up, down = _powers(size)
     prefix = np.zeros(len(data) + 1, U64)
     np.cumsum(_BYTE_LOWER[data] * up[: len(data)], out=prefix[1:])

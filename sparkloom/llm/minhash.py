@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import NOT_SPACE, U64, components, gram_hashes, mix, slices, word_hashes, word_spans, written
+from sparkloom.llm.common import NOT_SPACE, U64, components, gram_hashes, mix, slices, trim, word_hashes, word_spans, written
 
 BANDS = 30
 BLOCK_MEMBERS, BLOCK_BYTES = 1000, 24 << 20
@@ -91,6 +91,7 @@ def signatures(docs: DataFrame, words: int, threshold: float) -> DataFrame:
                         total = mix(total * U64(0x9E3779B97F4A7C15) + grid[:, j])
                     bands.append(total.view(np.int64))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(row, end - row), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "set_key", "bands"])
+        trim()
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_shingles long, set_key binary, bands array<long>")
 
@@ -132,6 +133,7 @@ def _sets(docs: DataFrame, words: int, bitmap: np.ndarray | None = None) -> Data
             for row, end, data, offsets in slices(batch, "text"):
                 sets = [s.tobytes() for s in shingle_sets(data, offsets, words)]
                 yield pa.RecordBatch.from_arrays([batch.column("rep").slice(row, end - row), pa.array(sets, pa.binary())], ["rep", "shingles"])
+        trim()
 
     return docs.mapInArrow(run, "rep long, shingles binary")
 
@@ -224,6 +226,8 @@ def links(docs: DataFrame, sig: DataFrame, words: int, threshold: float) -> Data
                 sets_.append(np.frombuffer(batch.column("shingles")[i].as_py(), U64))
             yield pa.RecordBatch.from_arrays([pa.array([e[0] for e in found], pa.int64()), pa.array([e[1] for e in found], pa.int64())], ["a", "b"])
         found = list(close())
+        sets_ = []
+        trim()
         yield pa.RecordBatch.from_arrays([pa.array([e[0] for e in found], pa.int64()), pa.array([e[1] for e in found], pa.int64())], ["a", "b"])
 
     grouped = dealt.join(sets, "rep").repartition("pivot", "low", "high").sortWithinPartitions("pivot", "low", "high")

@@ -24,10 +24,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparkloom.llm.common import trim
+
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
 #: Chunks in one generation of a cache; rows handled together; longest chunk that is merged in step.
-CACHE, SLICE, LONG, CHECK_EVERY = 200_000, 512, 96, 512
+CACHE, SLICE, LONG, CHECK_EVERY = 60_000, 256, 96, 512
 NONE = np.iinfo(np.int64).max
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
@@ -339,6 +341,7 @@ def _coded(batches, model_path: str, check_every: int):
                 check_batch(model_path, [texts[i] for i in pick], [ids[i] for i in pick], [decoded[i] for i in pick])
             seen += len(texts)
             yield part, ids, decoded
+    trim()
 
 
 def encoded(docs: DataFrame, model_path: str, check_every: int = CHECK_EVERY) -> DataFrame:

@@ -18,9 +18,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import ALNUM, U64, gram_hashes, mix, slices, word_hashes, word_spans
+from sparkloom.llm.common import ALNUM, U64, gram_hashes, mix, slices, trim, word_hashes, word_spans
 
-SAMPLE, SPACE, EPOCHS, STEMS = 8_000, 1 << 20, 8, (4, 6)
+SAMPLE, SPACE, EPOCHS, STEMS = 6_000, 1 << 20, 6, (4, 6)
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 3.0, 0.01
 THRESHOLD = 0.7
 _INTERCEPT = 0
@@ -89,6 +89,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         if rows:
             w = fit_rows(rows)
             index = np.flatnonzero(w)
+            rows.clear()
+            trim()
             yield pa.RecordBatch.from_arrays([pa.array(index, pa.int64()), pa.array(w[index], pa.float64())], ["i", "w"])
 
     found = texts.mapInArrow(features, "doc_id long, toxic int, features binary").repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id", "toxic", "features")
