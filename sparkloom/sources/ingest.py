@@ -37,6 +37,8 @@ class Ingestion:
 
     def _load(self, run: Run, tables: dict[str, DataFrame], source: str) -> None:
         for name, rows in tables.items():
+            # an array without elements tells no type; where its elements have a table of their own it is no column
+            rows = rows.drop(*[c for c, t in rows.dtypes if t.startswith("array") and (f"{name}__{c}" in tables or self.store.history(f"{name}__{c}"))])
             if not self.store.history(name) and not (self.store.pending or {}).get(name):
                 self.store.create(name, rows.schema)
                 kind = "none"

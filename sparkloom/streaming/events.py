@@ -13,26 +13,33 @@ def read_events(spark: SparkSession, path: str, schema, files_per_trigger: int =
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
 
 
+def _timed(events: DataFrame, late: str) -> DataFrame:
+    """With a watermark; on a stream it needs instants, so times without a zone are read in the session's."""
+    if events.isStreaming and dict(events.dtypes)["ts"] == "timestamp_ntz":
+        events = events.withColumn("ts", F.col("ts").cast("timestamp"))
+    return events.withWatermark("ts", late)
+
+
 def tumbling(events: DataFrame, size: str = "1 hour", late: str = "2 hours") -> DataFrame:
     """Events and their values by type and window; state is dropped once the watermark has passed a window."""
-    counted = events.withWatermark("ts", late).groupBy(F.window("ts", size), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+    counted = _timed(events, late).groupBy(F.window("ts", size), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
     return counted.select(F.col("window.start").alias("start"), "event_type", "n", "total")
 
 
 def sliding(events: DataFrame, size: str = "1 hour", step: str = "15 minutes", late: str = "2 hours") -> DataFrame:
-    return events.withWatermark("ts", late).groupBy(F.window("ts", size, step)).agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), "n")
+    return _timed(events, late).groupBy(F.window("ts", size, step)).agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), "n")
 
 
 def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "2 hours") -> DataFrame:
     """A user's events that follow each other within the gap."""
-    counted = events.withWatermark("ts", late).groupBy("user_id", F.session_window("ts", gap)).agg(F.count("*").alias("n"))
+    counted = _timed(events, late).groupBy("user_id", F.session_window("ts", gap)).agg(F.count("*").alias("n"))
     return counted.select("user_id", F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "n")
 
 
 def first_seen(events: DataFrame, late: str = "2 hours") -> DataFrame:
     """Events without those whose id was seen before, within the watermark."""
     if events.isStreaming:
-        return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"])
+        return _timed(events, late).dropDuplicatesWithinWatermark(["event_id"])
     return events.dropDuplicates(["event_id"])
 
 
