@@ -2,10 +2,11 @@
 
 Vectors are made integers and dealt into cells: a block of candidates with a block of queries. In a cell each
 dimension is a list of the candidates, sorted by component. A query reads its lists from the end that its own
-component prefers, a stretch at a time, and keeps for every candidate a lower bound (what was read, and the least
+component prefers, to a first depth (FIRST of STRETCHES, for many queries at once by products of matrices) and then
+a stretch at a time, and keeps for every candidate a lower bound (what was read, and the least
 for what wasn't) and an upper bound (what was read, and what the lists' reading points still allow). Candidates whose upper
 bound is under the k-th lower bound are out; when those not read at all are out and few are left, reading stops and
-the final scores of the few are resolved. Each cell returns k candidates a query, and cells are merged.
+the final scores of the few (FEW, or a quarter of a cell) are resolved. Each cell returns k candidates a query, and cells are merged.
 
 Queries are replicated to candidate blocks and the other way round, so no side is broadcast, and a cell's memory
 is bounded by ``QUERIES`` and ``CANDIDATES``. Vectors that are null, or hold a null or a component that isn't
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-QUERIES, CANDIDATES, STRETCHES, FEW = 512, 16_384, 10, 256
+QUERIES, CANDIDATES, STRETCHES, FIRST, FEW, TOGETHER = 512, 16_384, 8, 6, 256, 64
 
 
 class Lists:
@@ -31,51 +32,66 @@ class Lists:
     def __init__(self, ids: np.ndarray, vectors: np.ndarray):
         order = np.argsort(ids, kind="stable")
         self.ids, self.vectors = ids[order], vectors[order]
-        self.order = np.argsort(self.vectors, axis=0, kind="stable").T.copy()
-        self.rank = np.empty(self.vectors.shape, np.int32)
-        np.put_along_axis(self.rank, self.order.T, np.broadcast_to(np.arange(len(ids), dtype=np.int32)[:, None], self.vectors.shape), 0)
-        self.sorted = np.take_along_axis(self.vectors, self.order.T, 0).T.astype(np.float64)
-        self.exact = float(np.abs(self.vectors).max(initial=0)) ** 2 * self.vectors.shape[1] < 2**52
-
-    def top(self, query: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """(positions, scores) of the k best candidates whose id isn't ``own``, best first."""
+        n, largest = len(ids), float(np.abs(self.vectors).max(initial=0)) ** 2 * self.vectors.shape[1]
+        self.exact = largest < 2**52
+        kind = np.float32 if largest < 2**23 else np.float64  # sums of products stay whole numbers in either
+        order = np.argsort(self.vectors, axis=0, kind="stable").T
+        self.lists = np.ascontiguousarray(np.take_along_axis(self.vectors, order.T, 0).T.astype(kind))
+        self.rank = np.empty(order.shape, np.int16 if n < 32_000 else np.int32)
+        np.put_along_axis(self.rank, order, np.broadcast_to(np.arange(n, dtype=self.rank.dtype), order.shape), 1)
+        self.columns = np.ascontiguousarray(self.vectors.T.astype(kind))
+        # what is read at the first depth, from either end: the same for all queries, so their bounds are products of matrices
+        self.depth = min(n, FIRST * -(-n // STRETCHES))
+        self.seen = np.concatenate([self.rank < self.depth, self.rank >= n - self.depth]).astype(kind)
+        self.worth = np.concatenate([self.columns, self.columns]) * self.seen
+
+    def top(self, queries: np.ndarray, owns: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For each query (positions, scores) of the k best candidates whose id isn't its own, best first."""
         n = len(self.ids)
-        few = np.arange(n)
-        if self.exact and n > FEW:
-            few = self._read(query.astype(np.float64), own, k)
-        few = few[self.ids[few] != own]
-        score = self.vectors[few] @ query
-        best = np.lexsort((self.ids[few], -score))[:k]
-        return few[best], score[best]
-
-    def _read(self, q: np.ndarray, own: int, k: int) -> np.ndarray:
-        """Candidates that may be among the best: stretches of all lists are read until few are left."""
-        n, dims = len(self.ids), np.flatnonzero(q)
-        if not len(dims):
-            return np.arange(n)
-        q, down = q[dims], q[dims] > 0
-        least = np.where(down, self.sorted[dims, 0], self.sorted[dims, -1]) * q
-        lower, left = np.full(n, least.sum()), np.flatnonzero(self.ids != own)
-        done, step = 0, max(1, -(-n // STRETCHES))
-        while done < n and len(left) > FEW:
-            end = min(n, done + step)
-            at = np.empty((len(dims), end - done), np.int64)
-            worth = np.empty((len(dims), end - done))
-            for flag, cut in ((True, slice(n - end, n - done)), (False, slice(done, end))):
-                rows = down == flag
-                at[rows], worth[rows] = self.order[dims[rows], cut], self.sorted[dims[rows], cut] * q[rows, None] - least[rows, None]
-            lower += np.bincount(at.ravel(), worth.ravel(), minlength=n)
-            done = end
-            if len(left) <= k:
-                break
-            bar = np.partition(lower[left], len(left) - k)[len(left) - k]
-            point = np.where(down, self.sorted[dims, n - done], self.sorted[dims, done - 1]) * q - least
-            if (least + point).sum() >= bar and done < n // 3:
-                continue
-            rank = self.rank[np.ix_(left, dims)]
-            unread = np.where(down, rank < n - done, rank >= done)
-            left = left[lower[left] + unread @ point >= bar]
-        return left
+        for at in range(0, len(queries), TOGETHER):
+            part, mine = queries[at : at + TOGETHER], owns[at : at + TOGETHER]
+            if self.exact and n > FEW:
+                bounds = self._first(part)
+                few_of = [self._read(*row, int(own), k) for row, own in zip(zip(*bounds, strict=True), mine, strict=True)]
+            else:
+                few_of = [np.arange(n)] * len(part)
+            for query, own, few in zip(part, mine, few_of, strict=True):
+                few = few[self.ids[few] != own]
+                score = self.vectors[few] @ query
+                best = np.lexsort((self.ids[few], -score))[:k]
+                yield few[best], score[best]
+
+    def _ends(self, q: np.ndarray, done: int) -> tuple[np.ndarray, np.ndarray]:
+        """(least worth of each list, worth at its reading point less that) after ``done`` entries; q may be a matrix."""
+        n, down = len(self.ids), q > 0
+        least = np.where(down, self.lists[:, 0], self.lists[:, -1]) * q
+        return least, np.where(down, self.lists[:, n - done], self.lists[:, done - 1]) * q - least
+
+    def _first(self, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(queries, lower bounds, upper bounds) at the first depth."""
+        q = queries.astype(self.columns.dtype)
+        least, point = self._ends(q, self.depth)
+        down = q > 0
+        sides = lambda x: np.concatenate([np.where(down, 0, x), np.where(down, x, 0)], 1).astype(q.dtype)
+        lower = sides(q) @ self.worth - sides(least) @ self.seen + least.sum(1, keepdims=True)
+        return q, lower, lower + point.sum(1, keepdims=True) - sides(point) @ self.seen
+
+    def _read(self, q: np.ndarray, lower: np.ndarray, upper: np.ndarray, own: int, k: int) -> np.ndarray:
+        """Candidates that may be among the best: lists are read on from the first depth until few are left."""
+        n, left, done = len(self.ids), np.arange(len(self.ids)), self.depth
+        while True:
+            mine = self.ids[left] != own
+            if mine.sum() > k:
+                bar = np.partition(lower[mine], mine.sum() - k)[mine.sum() - k]
+                left = left[mine & (upper >= bar)]
+            if done >= n or len(left) <= max(FEW, n // 4):
+                return left
+            done = min(n, done + -(-n // STRETCHES))
+            least, point = self._ends(q, done)
+            rank = self.rank[:, left]
+            read = np.where((q > 0)[:, None], rank >= n - done, rank < done).astype(q.dtype)
+            lower = q @ (self.columns[:, left] * read) + (least.sum() - least @ read)
+            upper = lower + point.sum() - point @ read
 
 
 def _blocks(batches, names: list[str]) -> Iterator[tuple[tuple, list]]:
@@ -117,9 +133,9 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 256) ->
                 cell, lists = (lane, block), Lists(*solid(rows))
             elif cell == (lane, block):
                 out: list[list] = [[], [], []]
-                for own, vector in zip(*solid(rows), strict=True):
-                    at, score = lists.top(vector, int(own), k)
-                    out[0] += [int(own)] * len(at)
+                owns, wanted = solid(rows)
+                for own, (at, score) in zip(owns.tolist(), lists.top(wanted, owns, k), strict=True):
+                    out[0] += [own] * len(at)
                     out[1] += lists.ids[at].tolist()
                     out[2] += score.tolist()
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["query_id", "vec_id", "score"])
