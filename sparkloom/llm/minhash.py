@@ -239,7 +239,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: float = 0.8) ->
     sig = written(signatures(docs, words, threshold), "signatures")
     found = components(links(docs, sig, words, threshold))
     rep = sig.filter("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep"))
-    named = rep.join(found, rep["rep"] == found["id"], "left").select("set_key", F.coalesce("component", "rep").alias("component"))
+    # Written, so that both sides of the last join are plain exchanges and the rows of a hot set can be split over tasks.
+    named = written(rep.join(found, rep["rep"] == found["id"], "left").select("set_key", F.coalesce("component", "rep").alias("component")), "classes")
     out = sig.select("doc_id", "n_shingles", "set_key").join(named, "set_key", "left")
     component = F.coalesce("component", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
