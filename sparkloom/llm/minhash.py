@@ -194,7 +194,9 @@ def links(docs: DataFrame, sig: DataFrame, words: int, threshold: float) -> Data
     rep = rep.filter("rep is not null").select("rep", "band", F.col("n_shingles").alias("n"))
     buckets = rep.groupBy("band").agg(F.min("rep").alias("pivot"), F.count("*").alias("members")).filter("members > 1")
     met = written(rep.join(buckets, "band").groupBy("pivot", "rep").agg(F.max("n").alias("n")), "met")
+    # Written too: a pivot of many members meets its count in a join whose sides are plain exchanges and can be split.
     blocks = met.groupBy("pivot").agg(F.greatest(F.ceil(F.count("*") / F.lit(BLOCK_MEMBERS)), F.ceil(F.sum("n") * 8 / F.lit(BLOCK_BYTES))).alias("blocks"))
+    blocks = written(blocks, "blocks")
     own = F.pmod(F.xxhash64("rep"), F.col("blocks"))
     lanes = F.expr("transform(sequence(0L, blocks - 1), x -> struct(least(x, own) as low, greatest(x, own) as high))")
     dealt = met.join(blocks, "pivot").withColumn("own", own).select("pivot", "rep", "own", F.explode(lanes).alias("at")).select("pivot", "rep", "own", "at.low", "at.high")
