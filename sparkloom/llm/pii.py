@@ -16,9 +16,11 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import itertools
 import math
 import random
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -215,9 +217,21 @@ def _stretches(n: int) -> Iterator[tuple[str, set[Span]]]:
         yield text, ({(kind, start, start + len(part))} if kind else set())
 
 
+def _free(spans: list[Span] | tuple):
+    """Whether none of the spans, given by start, meets a place: a search among the starts, then the largest end before."""
+    starts = [s for _, s, _ in spans]
+    ends = list(itertools.accumulate((e for _, _, e in spans), max))
+
+    def free(a: int, b: int) -> bool:
+        i = bisect_left(starts, b)
+        return not i or ends[i - 1] <= a
+
+    return free
+
+
 def _lattice(text: str, taken: list[Span] | tuple = ()) -> Iterator[tuple[list[tuple[int, int]], list[list[str]]]]:
     """(candidates, features) of each stretch that base spans leave."""
-    free = lambda a, b: not any(s < b and a < e for _, s, e in taken)
+    free = _free(taken)
     for m in _STRETCH.finditer(text):
         spans = [s for s in dict.fromkeys(candidates(text, *m.span())) if free(*s)]
         if spans:
@@ -247,10 +261,11 @@ def all_spans(text: str, field: Field) -> tuple[list[Span], list[Span]]:
     if not _DIGIT.search(text) and "at" not in text and "@" not in text:
         return base, base
     added = [s for spans, features in _lattice(text, base) for s in field.best(spans, features)]
-    kept: list[Span] = []
+    digits, spelt = [], []  # stretches come in order, of digits first; neither kind overlaps itself
     for s in added:
-        if not any(k[1] < s[2] and s[1] < k[2] for k in kept):
-            kept.append(s)
+        (spelt if spelt or (digits and s[1] < digits[-1][2]) else digits).append(s)
+    free = _free(digits)
+    kept = digits + [s for s in spelt if free(s[1], s[2])]
     return base, sorted(base + kept, key=lambda s: (s[1], KINDS.index(s[0]))) if kept else base
 
 
