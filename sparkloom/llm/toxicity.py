@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 
 from sparkloom.llm.common import ALNUM, U64, gram_hashes, mix, slices, trim, word_hashes, word_spans
 
-SAMPLE, SPACE, EPOCHS, STEMS = 6_000, 1 << 20, 6, (4, 6)
-ALPHA, BETA, L1, L2 = 1.0, 1.0, 3.0, 0.01
+SAMPLE, SPACE, EPOCHS, STEMS = 12_000, 1 << 20, 6, (4, 6)
+ALPHA, BETA, L1, L2 = 1.0, 1.0, 8.0, 0.01
 THRESHOLD = 0.7
 _INTERCEPT = 0
 
