@@ -2,9 +2,9 @@
 
 Every run of ``K`` words of a text is hashed and joined, in Spark, with the positions of the same runs in the
 license templates. A match votes for the diagonal (template, position in text less position in template). Votes
-are counted by diagonal before they are shuffled; neighbouring diagonals, as insertions and deletions leave them,
-are merged; and a merged span counts if it covers enough of the template. The contract's phrases are found beside
-it as they stand, word for word.
+are gathered by diagonal before they are shuffled; neighbouring diagonals, as insertions and deletions leave them,
+are merged; and a merged span counts if the template positions that it holds are enough of the template. The
+contract's phrases are found beside it as they stand, word for word.
 
 The templates' positions are broadcast: they are a parameter, ``MAX_TEMPLATE_WORDS`` words at most. Null and empty
 texts have no words and no labels. Rows that repeat an id are each kept; they share the labels that any of them
@@ -95,16 +95,15 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:
 
     where, sizes = positions(docs.sparkSession, templates)
     votes = docs.mapInArrow(grams, "doc_id long, pos int, gram long").join(F.broadcast(where), "gram")
-    diagonals = votes.groupBy("doc_id", "label", (F.col("pos") - F.col("at")).alias("diagonal")).agg(F.count_distinct("at").alias("votes"), F.min("at").alias("low"), F.max("at").alias("high"))
+    diagonals = votes.groupBy("doc_id", "label", (F.col("pos") - F.col("at")).alias("diagonal")).agg(F.collect_set("at").alias("ats"))
     along = Window.partitionBy("doc_id", "label").orderBy("diagonal")
     gap = F.col("diagonal") - F.lag("diagonal").over(along)
     runs = diagonals.withColumn("new", (F.coalesce(gap, F.lit(NEAR + 1)) > NEAR).cast("int")).withColumn("run", F.sum("new").over(along.rowsBetween(Window.unboundedPreceding, 0)))
-    spans = runs.groupBy("doc_id", "label", "run").agg(F.sum("votes").alias("votes"), F.min("low").alias("low"), F.max("high").alias("high"))
-    cover = F.least(F.col("votes"), F.col("high") - F.col("low") + 1) / F.col("length")
-    verified = spans.join(F.broadcast(sizes), "label").withColumn("cover", cover).filter(F.col("cover") >= COVER)
+    spans = runs.groupBy("doc_id", "label", "run").agg(F.size(F.array_distinct(F.flatten(F.collect_list("ats")))).alias("covered"))
+    verified = spans.join(F.broadcast(sizes), "label").withColumn("cover", F.col("covered") / F.col("length")).filter(F.col("cover") >= COVER)
     added = verified.groupBy("doc_id").agg(F.collect_set("label").alias("added"), F.max("cover").alias("cover"))
     both = docs.mapInArrow(count, "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string").join(added, "doc_id", "left")
     base = F.filter(F.split("base_labels", ","), lambda x: x != "")
     labels = F.array_join(F.array_sort(F.array_union(base, F.coalesce("added", F.array().cast("array<string>")))), ",")
-    score = F.when(F.col("n_base") > 0, 1.0).otherwise(F.least(F.coalesce("cover", F.lit(0.0)), F.lit(1.0)))
+    score = F.when(F.col("n_base") > 0, 1.0).otherwise(F.coalesce("cover", F.lit(0.0)))
     return both.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", labels.alias("labels"), score.cast("double").alias("score"))

@@ -13,7 +13,7 @@ from sparkloom.llm import chat, fingerprint, licenses, minhash, mixing, pieces,
 
 SHA = lambda s: hashlib.sha256(s.encode()).hexdigest()
 #: Rows beyond those of the table: nulls, empty and very short texts, repeated rows, signs of all kinds.
-ODD = [None, "", " ", "a", "A b", "x y z", "x y z", "é\u2028ü  \t\n two", "mail a.b@c-d.e.f, x@y +1 (234) 567-8901, 10.0.0.300 1.2.3.4.5.6.7.8 4111 1111 1111 1111", "MIT  License; the apache-license mit license GNU General Public License", "word " * 3000, "1234567890" * 50, "\x00\x0b▁ <|im_end|> \\ 😀😀"]
+ODD = [None, "", " ", "a", "A b", "x y z", "x y z", "é\u2028ü  \t\n two", "mail a.b@c-d.e.f, x@y +1 (234) 567-8901, 10.0.0.300 1.2.3.4.5.6.7.8 4111 1111 1111 1111", "MIT  License; the apache-license mit license GNU General Public License", "word " * 3000, "1234567890" * 50, "\x00\x0b▁ <|im_end|> \\ 😀😀", " ".join(f"{w} {i}" if i % 9 == 8 else w for i, w in enumerate(licenses.TEMPLATES["gpl"].split())) + " " + licenses.TEMPLATES["cc"], "permission is hereby granted free " * 40]
 
 
 @pytest.fixture(scope="module")
@@ -47,6 +47,16 @@ def test_pii(docs):
     assert pii.redact("ab 1.2.3.4 c", pii.base_spans("ab 1.2.3.4 c")) == "ab <IP> c"
 
 
+def test_free_places():
+    draw = np.random.default_rng(2)
+    spans = sorted((("ip", int(a), int(a + n)) for a, n in zip(draw.integers(0, 300, 30), draw.integers(1, 40, 30), strict=True)), key=lambda s: s[1])
+    for some in (spans, spans[:1], []):
+        free = pii._free(some)
+        for a in range(0, 340, 3):
+            for b in (a + 1, a + 7, a + 60):
+                assert free(a, b) == (not any(s < b and a < e for _, s, e in some))
+
+
 def test_pii_field_finds_other_forms():
     field = pii.fitted()
     for text, kind in (("please call 555-123-4567 today", "phone"), ("phone (555) 123-4567 now", "phone"), ("write john at example dot com soon", "email"), ("visa 4111.1111.1111.1111 ok", "card")):
@@ -169,6 +179,30 @@ def test_topk(spark):
     assert got == sorted(want)
 
 
+def voted(words):
+    """Labels that the diagonals of a text give, and the largest share of a template; in plain loops."""
+    runs = [tuple(words[i : i + licenses.K]) for i in range(len(words) - licenses.K + 1)]
+    labels, best = set(), 0.0
+    for label, template in licenses.TEMPLATES.items():
+        parts = template.split()
+        at = [tuple(parts[i : i + licenses.K]) for i in range(len(parts) - licenses.K + 1)]
+        diagonals = {}
+        for pos, run in enumerate(runs):
+            for i, other in enumerate(at):
+                if run == other:
+                    diagonals.setdefault(pos - i, set()).add(i)
+        held, last = set(), None
+        for d in [*sorted(diagonals), None]:
+            if d is None or (last is not None and d - last > licenses.NEAR):
+                if len(held) / len(at) >= licenses.COVER:
+                    labels.add(label)
+                    best = max(best, len(held) / len(at))
+                held = set()
+            held |= diagonals.get(d, set())
+            last = d
+    return labels, best
+
+
 def test_licenses(docs):
     rows, df = docs
     got = {r["doc_id"]: r for r in licenses.scan(df).collect()}
@@ -179,7 +213,9 @@ def test_licenses(docs):
         starts = [i for i, _ in found]
         assert (r["n_words"], r["n_base"], r["first_word"], r["last_word"]) == (len(words), len(found), min(starts, default=None), max(starts, default=None))
         assert r["base_labels"] == ",".join(sorted({label for _, label in found}))
-        assert {x for x in r["base_labels"].split(",") if x} <= set(r["labels"].split(","))
+        added, score = voted(words)
+        assert r["labels"] == ",".join(sorted({label for _, label in found} | added))
+        assert r["score"] == (1.0 if found else pytest.approx(score))
 
 
 def test_license_notices(spark):
