@@ -1,7 +1,8 @@
 """License scans by diagonal voting.
 
 Every run of ``K`` words of a text is hashed and joined, in Spark, with the positions of the same runs in the
-license templates. A match votes for the diagonal (template, position in text less position in template). Votes
+license templates; a template of fewer words is one run. A label has templates of its notice and of the short lines
+that stand for it. A match votes for the diagonal (template, position in text less position in template). Votes
 are gathered by diagonal before they are shuffled; neighbouring diagonals, as insertions and deletions leave them,
 are merged; and a merged span counts if the template positions that it holds are enough of the template. The
 contract's phrases are found beside it as they stand, word for word.
@@ -20,31 +21,53 @@ from pyspark.sql import functions as F
 
 from sparkloom.llm.common import ALNUM, gram_hashes, hash_of, slices, word_hashes, word_spans
 
-K, NEAR, COVER, MAX_TEMPLATE_WORDS = 4, 6, 0.5, 1_000_000
+K, NEAR, COVER, MAX_TEMPLATE_WORDS = 3, 6, 0.5, 1_000_000
 
 #: Phrases and their labels.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
+#: Short lines by label. Those of K words count only as they stand, a longer one from COVER of its runs on.
+LINES = {
+    "mit": ["under the mit", "licensed under mit", "released under mit", "license identifier mit"],
+    "apache": ["licensed under apache", "released under apache", "license identifier apache"],
+    "gpl": ["licensed under gpl", "released under gpl", "under the gpl", "under gnu gpl", "the gnu gpl", "license identifier gpl"],
+    "bsd": ["licensed under bsd", "released under bsd", "under the bsd", "bsd 2 clause", "bsd 3 clause", "2 clause bsd", "3 clause bsd", "license identifier bsd"],
+    "cc": ["licensed under cc", "released under cc", "under a cc", "creative commons license", "creative commons attribution", "licensed under creative commons", "license identifier cc"],
+    "proprietary": ["all rights reserved", "license identifier proprietary", "identifier licenseref proprietary"],
+}
+
+
+class Templates(dict):
+    """A notice by label; items() gives its short lines after it, under the same label."""
+
+    def items(self):
+        return [(label, text) for label, notice in super().items() for text in (notice, *LINES.get(label, ()))]
+
+
 #: Notices of well-known licenses, by label.
-TEMPLATES = {
+TEMPLATES = Templates({
     "mit": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files to deal in the software without restriction",
     "apache": "licensed under the apache license version 2 0 you may not use this file except in compliance with the license you may obtain a copy of the license at",
     "gpl": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation",
     "bsd": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
     "cc": "this work is licensed under a creative commons attribution international license",
     "proprietary": "all rights reserved no part of this publication may be reproduced or distributed in any form without prior written permission of the publisher",
-}
+})
 
 
-def positions(spark, templates: dict[str, str]) -> tuple[DataFrame, DataFrame]:
-    """(gram, label, at) of all runs of K words of the templates, and (label, length)."""
-    rows, sizes = [], []
-    for label, text in templates.items():
+def positions(spark, templates: dict[str, str]) -> tuple[DataFrame, DataFrame, list[int]]:
+    """(gram, template, at) of all runs of the templates, (template, label, length), and the sizes of runs."""
+    rows, sizes, runs = [], [], set()
+    for name, (label, text) in enumerate(templates.items()):
         words = text.split()
-        sizes.append((label, max(1, len(words) - K + 1)))
-        rows += [(int(g), label, at) for at, g in enumerate(gram_hashes(hash_of(words), K).view(np.int64))]
-    if sum(n for _, n in sizes) > MAX_TEMPLATE_WORDS:
+        k = min(K, len(words))
+        if not k:
+            continue
+        runs.add(k)
+        sizes.append((name, label, len(words) - k + 1))
+        rows += [(int(g), name, at) for at, g in enumerate(gram_hashes(hash_of(words), k).view(np.int64))]
+    if sum(n for _, _, n in sizes) > MAX_TEMPLATE_WORDS:
         raise ValueError("the templates are larger than what may be broadcast")
-    return spark.createDataFrame(rows, "gram long, label string, at int"), spark.createDataFrame(sizes, "label string, length int")
+    return spark.createDataFrame(rows, "gram long, template int, at int"), spark.createDataFrame(sizes, "template int, label string, length int"), sorted(runs)
 
 
 def _base(words: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -88,19 +111,20 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:
                 starts, ends, first = word_spans(data, offsets, ALNUM)
                 words = word_hashes(data, starts, ends)
                 text = np.repeat(np.arange(end - row), np.diff(first))
-                found = gram_hashes(words, K)
-                keep = np.flatnonzero(text[: len(found)] == text[K - 1 : K - 1 + len(found)])
-                ids = batch.column("doc_id").slice(row, end - row).take(pa.array(text[keep]))
-                yield pa.RecordBatch.from_arrays([ids, pa.array((keep - first[text[keep]]).astype(np.int32)), pa.array(found[keep].view(np.int64))], ["doc_id", "pos", "gram"])
+                for k in runs:
+                    found = gram_hashes(words, k)
+                    keep = np.flatnonzero(text[: len(found)] == text[k - 1 : k - 1 + len(found)])
+                    ids = batch.column("doc_id").slice(row, end - row).take(pa.array(text[keep]))
+                    yield pa.RecordBatch.from_arrays([ids, pa.array((keep - first[text[keep]]).astype(np.int32)), pa.array(found[keep].view(np.int64))], ["doc_id", "pos", "gram"])
 
-    where, sizes = positions(docs.sparkSession, templates)
+    where, sizes, runs = positions(docs.sparkSession, templates)
     votes = docs.mapInArrow(grams, "doc_id long, pos int, gram long").join(F.broadcast(where), "gram")
-    diagonals = votes.groupBy("doc_id", "label", (F.col("pos") - F.col("at")).alias("diagonal")).agg(F.collect_set("at").alias("ats"))
-    along = Window.partitionBy("doc_id", "label").orderBy("diagonal")
+    diagonals = votes.groupBy("doc_id", "template", (F.col("pos") - F.col("at")).alias("diagonal")).agg(F.collect_set("at").alias("ats"))
+    along = Window.partitionBy("doc_id", "template").orderBy("diagonal")
     gap = F.col("diagonal") - F.lag("diagonal").over(along)
-    runs = diagonals.withColumn("new", (F.coalesce(gap, F.lit(NEAR + 1)) > NEAR).cast("int")).withColumn("run", F.sum("new").over(along.rowsBetween(Window.unboundedPreceding, 0)))
-    spans = runs.groupBy("doc_id", "label", "run").agg(F.size(F.array_distinct(F.flatten(F.collect_list("ats")))).alias("covered"))
-    verified = spans.join(F.broadcast(sizes), "label").withColumn("cover", F.col("covered") / F.col("length")).filter(F.col("cover") >= COVER)
+    chains = diagonals.withColumn("new", (F.coalesce(gap, F.lit(NEAR + 1)) > NEAR).cast("int")).withColumn("run", F.sum("new").over(along.rowsBetween(Window.unboundedPreceding, 0)))
+    spans = chains.groupBy("doc_id", "template", "run").agg(F.size(F.array_distinct(F.flatten(F.collect_list("ats")))).alias("covered"))
+    verified = spans.join(F.broadcast(sizes), "template").withColumn("cover", F.col("covered") / F.col("length")).filter(F.col("cover") >= COVER)
     added = verified.groupBy("doc_id").agg(F.collect_set("label").alias("added"), F.max("cover").alias("cover"))
     both = docs.mapInArrow(count, "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string").join(added, "doc_id", "left")
     base = F.filter(F.split("base_labels", ","), lambda x: x != "")

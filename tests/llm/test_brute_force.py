@@ -225,6 +225,21 @@ def test_license_notices(spark):
     assert [r["labels"] for r in got] == ["bsd", "bsd", "", ""] and got[0]["score"] == 1.0 and got[3]["score"] == 0.0
 
 
+def test_license_lines(spark, docs):
+    """Short lines, as documents hold them, are labelled where no phrase is."""
+    lines = {"all": "x\nAll rights reserved.\ny", "cc": "Licensed under CC BY-NC 4.0.", "spdx": "SPDX-License-Identifier: BSD-3-Clause", "none": "SPDX-License-Identifier: all rights", "odd": "no such line"}
+    got = {r["doc_id"]: r["labels"] for r in licenses.scan(spark.createDataFrame(list(enumerate(lines.values())), "doc_id long, text string")).collect()}
+    assert [got[i] for i in range(5)] == ["proprietary", "cc", "bsd", "", ""]
+    own = licenses.scan(spark.createDataFrame([(0, "a b"), (1, "b a")], "doc_id long, text string"), {"two": "a b"}).collect()
+    assert {r["doc_id"]: r["labels"] for r in own} == {0: "two", 1: ""}
+    rows, df = docs
+    wanted = {d: "proprietary" if "All rights reserved." in t else "cc" for d, t, _ in rows if t and ("All rights reserved." in t or "Licensed under CC " in t)}
+    found = {r["doc_id"]: r for r in licenses.scan(df).collect()}
+    assert len(wanted) >= 4
+    for d, label in wanted.items():
+        assert label in found[d]["labels"].split(",") and label not in found[d]["base_labels"] and found[d]["score"] == 1.0
+
+
 def test_mixing(docs):
     rows, df = docs
     got = {r["doc_id"]: r for r in mixing.shares(df).collect()}
