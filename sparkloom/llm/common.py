@@ -165,20 +165,25 @@ def gram_hashes(words: np.ndarray, k: int, step: int = 1) -> np.ndarray:
 
 
 # --- connected components ----------------------------------------------------------------------------------
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(id, component): for each id of ``edges`` (a, b long) the smallest id that it reaches.
 
-    Each round every id takes the smallest label of its neighbours and then the label of that label. Labels live
-    in written tables between rounds; only the number of changed rows comes to the driver.
+    Each round every id takes the smallest label of its neighbours, gives it to the id that its own label names too,
+    and takes the label of that label; so whole trees move at once, and a path takes about as many rounds as the
+    logarithm of its length. Labels only fall, and rounds go on until none does. They live in written tables between
+    rounds; only whether a row changed comes to the driver.
     """
     both = written(edges.select("a", "b").union(edges.select("b", "a")).filter("a <> b").distinct(), "edges")
     labels = written(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("component")), "labels")
-    for _ in range(rounds):
+    while True:
         seen = both.join(labels, both["b"] == labels["id"]).groupBy("a").agg(F.min("component").alias("seen"))
         near = labels.join(seen, labels["id"] == seen["a"]).select("id", "component", F.least("component", "seen").alias("near"))
+        hooks = F.array(F.struct("id", "component", "near"), F.struct(F.col("component").alias("id"), F.lit(None).cast("long").alias("component"), "near"))
+        own = F.array(F.struct("id", "component", "near"))
+        given = near.select(F.explode(F.when(F.col("near") < F.col("component"), hooks).otherwise(own)).alias("x")).select("x.*")
+        hooked = given.groupBy("id").agg(F.max("component").alias("component"), F.min("near").alias("near"))
         to = labels.select(F.col("id").alias("near"), F.col("component").alias("far"))
-        after = written(near.join(to, "near").select("id", F.least("near", "far").alias("component"), (F.least("near", "far") < F.col("component")).alias("changed")), "labels")
+        after = written(hooked.join(to, "near").select("id", F.least("near", "far").alias("component"), (F.least("near", "far") < F.col("component")).alias("changed")), "labels")
         labels = after.select("id", "component")
         if after.filter("changed").isEmpty():
             return labels
-    raise RuntimeError("components did not settle")

@@ -1,10 +1,12 @@
 """Queries with SQL against DuckDB, and the pipeline's stages on all that they are given."""
 
+import random
+
 import duckdb
 import pytest
 
 import corpus_pipeline
-from sparkloom.llm import minhash, mixing, pii, queries
+from sparkloom.llm import common, minhash, mixing, pii, queries
 from sparkloom.llm.common import components
 
 
@@ -26,6 +28,18 @@ def test_components(spark):
     assert got == {i: 0 for i in range(31)} | {i: 50 for i in (50, 60, 70, 100)}
 
 
+def test_components_of_long_paths(spark, monkeypatch):
+    """Paths of 1,000 ids settle in rounds of about their logarithm, whatever the order of the ids."""
+    tables, write = [], common.written
+    monkeypatch.setattr(common, "written", lambda df, tag: tables.append(tag) or write(df, tag))
+    draw = random.Random(4)
+    for ids in (draw.sample(range(1, 1001), 1000), [1, *range(1000, 1, -1)]):
+        tables.clear()
+        edges = spark.createDataFrame(list(zip(ids, ids[1:], strict=False)), "a long, b long")
+        assert {r["id"]: r["component"] for r in components(edges).collect()} == dict.fromkeys(ids, 1)
+        assert tables.count("labels") < 20
+
+
 def test_pipeline(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     frames, now = {}, docs
