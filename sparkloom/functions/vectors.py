@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -54,3 +54,21 @@ def hash_planes(column: Column, bits: int, dimensions: int, seed: int = 5) -> Co
         plane = F.array(*[F.lit(draw.gauss(0, 1)) for _ in range(dimensions)])
         code = code + F.when(inner_product(column, plane) >= 0, 1 << i).otherwise(0)
     return code
+
+
+def hashed_nearest(vectors: DataFrame, probes: list[tuple[int, list[float]]], k: int, tables: int = 4, planes: int = 6, flips: int = 2) -> DataFrame:
+    """(probe, vec_id, score): for each (id, vector) of ``probes`` the k rows of the highest cosine among those that lie,
+    in one of ``tables`` sets of planes at least, in the probe's bucket or at most ``flips`` planes away; without the probe itself."""
+    spark, size = vectors.sparkSession, len(probes[0][1])
+
+    def codes() -> Column:
+        return F.array(*[hash_planes(F.col("embedding"), planes, size, 5 + t) for t in range(tables)])
+
+    given = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in probes], "probe long, embedding array<double>")
+    wanted = F.broadcast(given.select("probe", F.col("embedding").alias("wanted"), codes().alias("at")))
+    near = F.exists(F.zip_with("codes", "at", lambda a, b: F.bit_count(a.bitwiseXOR(b)) <= flips), lambda x: x)
+    held = vectors.select("vec_id", "embedding", codes().alias("codes"))
+    close = held.join(wanted, near & (F.col("vec_id") != F.col("probe")))
+    scored = close.select("probe", "vec_id", cosine_similarity(F.col("embedding"), F.col("wanted")).alias("score"))
+    place = F.row_number().over(Window.partitionBy("probe").orderBy(F.desc_nulls_last("score"), "vec_id"))
+    return scored.withColumn("rn", place).filter(F.col("rn") <= k).select("probe", "vec_id", "score")

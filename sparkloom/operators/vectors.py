@@ -65,11 +65,6 @@ def vec_similarity_zero_norm(spark, sf):
 
 @query()
 def vec_hashed_buckets(spark, sf):
-    """Approximate search: rows of the probe's bucket of 4 planes, and of those one plane away, by cosine."""
+    """Approximate search: rows at most two of 6 planes from the probe in one of 4 tables of planes, by cosine."""
     rows = table(spark, sf, "embeddings")
-    probe = _probe(rows)
-    planes = 4
-    wanted = rows.sparkSession.createDataFrame([(list(map(float, probe)),)], "embedding array<double>").select(V.hash_planes(F.col("embedding"), planes, len(probe)).alias("c")).first()["c"]
-    near = [wanted] + [wanted ^ (1 << i) for i in range(planes)]
-    close = rows.filter(V.hash_planes(F.col("embedding"), planes, len(probe)).isin(near))
-    return V.nearest(close, probe, 10, "cosine").select("vec_id", F.round("score", 5).alias("score"))
+    return V.hashed_nearest(rows, [(7, _probe(rows))], 10).orderBy(F.desc("score"), "vec_id").select("vec_id", F.round("score", 5).alias("score"))

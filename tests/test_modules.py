@@ -185,3 +185,25 @@ def test_plans(spark, sf_dir):
     assert "ReadSchema: struct<o_orderkey:bigint,o_totalprice:double>" in plan("scan_projection")
     assert "TakeOrderedAndProject" in plan("topk") and "BroadcastHashJoin" in plan("join_broadcast") and "SortMergeJoin" in plan("join_merge_hint")
     assert "WindowGroupLimit" in plan("win_topk_per_group") and "BatchEvalPython" not in plan("vec_cosine_topk")
+
+
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_hashed_search_recall(spark, sf):
+    """Of the 10 nearest by exact cosine, for all probes of id % 20, the buckets give 0.9 at least."""
+    import numpy as np
+
+    rows = spark.read.parquet(f"/root/testdata/{sf}/embeddings.parquet")
+    whole = {r["vec_id"]: np.array(r["embedding"], float) for r in rows.collect()}
+    ids = np.array(sorted(whole))
+    units = np.array([whole[i] / np.linalg.norm(whole[i]) for i in ids])
+    probes = [(int(i), whole[i].tolist()) for i in ids if i % 20 == 0]
+    got = {}
+    for r in vectors.hashed_nearest(rows, probes, 10).collect():
+        got.setdefault(r["probe"], set()).add(r["vec_id"])
+    shares = []
+    for i, v in probes:
+        order = ids[np.argsort(-(units @ (np.array(v) / np.linalg.norm(v))), kind="stable")]
+        assert i not in got[i]
+        shares.append(len(got[i] & {int(x) for x in order[order != i][:10]}) / 10)
+    print("recall", sf, sum(shares) / len(shares), min(shares))
+    assert sum(shares) / len(shares) >= 0.9
