@@ -82,7 +82,11 @@ def base_spans(text: str) -> list[Span]:
 # --- candidates and features -------------------------------------------------------------------------------
 #: Groups of digits with up to three signs between them; and addresses with their signs spelt out. Fixed values.
 _STRETCH = re.compile(r"[+(]?[0-9]+(?:[ ().:/-]{1,3}[0-9]+)+|[+(]?[0-9]{9,}")
-_SPELT = re.compile(r"(?i)\b[a-z0-9._%+-]{1,40} ?[\[(<{]? ?(?:at|@) ?[\])>}]? ?[a-z0-9-]{1,40}(?: ?[\[(<{]? ?(?:dot|\.) ?[\])>}]? ?[a-z0-9-]{2,24}\b){1,3}")
+_PART = r" ?[\[(<{]? ?(?:dot|\.) ?[\])>}]? ?[a-z0-9-]{2,24}\b"
+_SPELT = re.compile(r"(?i)(\b[a-z0-9._%+-]{1,40} ?[\[(<{]? ?(?:at|@) ?[\])>}]? ?[a-z0-9-]{1,40})(?:" + _PART + "){1,3}")
+_SPELT_PART = re.compile("(?i)" + _PART)
+#: What every match of _SPELT holds, from its sign on; quicker to look for.
+_SPELT_SIGN = re.compile(r"(?i)(?:at|@) ?[\])>}]? ?[a-z0-9-]{1,40} ?[\[(<{]? ?(?:dot|\.) ?[\])>}]? ?[a-z0-9-]{2}")
 _HINTS = {"phone": "phone", "tel": "phone", "call": "phone", "mobile": "phone", "fax": "phone", "card": "card", "visa": "card", "credit": "card", "ip": "ip", "host": "ip", "server": "ip", "address": "ip", "mail": "email", "email": "email", "contact": "email", "write": "email", "order": "none", "invoice": "none", "version": "none", "isbn": "none", "date": "none", "id": "none", "on": "none"}
 _GROUP = re.compile(r"[0-9]+")
 _WORD_BEFORE = re.compile(r"([A-Za-z]+)[^A-Za-z0-9]{0,3}\Z")
@@ -130,6 +134,26 @@ def candidates(text: str, start: int, end: int) -> list[tuple[int, int]]:
     return out
 
 
+def spelt(text: str) -> Iterator[list[tuple[int, int]]]:
+    """The spelt addresses that a text could hold, in groups that don't meet: each match with 1 to 3 parts of its domain.
+
+    The search goes on after the first word of a domain, so that a match which runs too far hides no other."""
+    group: list[tuple[int, int]] = []
+    reach, m = 0, _SPELT.search(text) if _SPELT_SIGN.search(text) else None
+    while m:
+        if group and m.start() >= reach:
+            yield group
+            group = []
+        at = m.end(1)
+        while at < m.end():
+            at = _SPELT_PART.match(text, at).end()
+            group.append((m.start(), at))
+        reach = max(reach, m.end())
+        m = _SPELT.search(text, m.end(1))
+    if group:
+        yield group
+
+
 class Field:
     """Weights by (kind, feature), and the choice of segments."""
 
@@ -204,7 +228,7 @@ def _stretches(n: int) -> Iterator[tuple[str, set[Span]]]:
         "phone": [lambda: f"({d(3)}) {d(3)}-{d(4)}", lambda: f"{d(3)}-{d(3)}-{d(4)}", lambda: f"{d(3)}.{d(3)}.{d(4)}", lambda: f"1-{d(3)}-{d(3)}-{d(4)}", lambda: f"00{d(2)} {d(3)} {d(3)} {d(4)}", lambda: f"0{d(3)} {d(3)} {d(4)}"],
         "card": [lambda: card("."), lambda: card("/"), lambda: card(" . ")],
         "ip": [lambda: f"{octet()}[.]{octet()}[.]{octet()}[.]{octet()}".replace("[.]", " . "), lambda: f"{octet()}-{octet()}-{octet()}-{octet()}"],
-        "email": [lambda: f"{name(8)} at {name(8)} dot com", lambda: f"{name(8)}.{name(5)} [at] {name(8)} [dot] org", lambda: f"{name(8)}(at){name(8)}.net", lambda: f"{name(6)}{d(2)} at {name(8)} dot example dot com"],
+        "email": [lambda: f"{name(8)} at {name(8)} dot com", lambda: f"{name(8)}.{name(5)} [at] {name(8)} [dot] org", lambda: f"{name(8)}(at){name(8)}.net", lambda: f"{name(6)}{d(2)} at {name(8)} dot example dot com", lambda: f"{name(8)}[at]{name(8)}[dot]com", lambda: f"{name(8)} <at> {name(8)} <dot> net", lambda: f"{name(8)}{{at}}{name(8)}{{dot}}org", lambda: f"{name(8)}@{name(8)} dot com", lambda: f"{name(8)} (@) {name(8)} . com"],
         "": [lambda: f"20{d(2)}-{d(2)}-{d(2)}", lambda: f"{d(2)}/{d(2)}/20{d(2)}", lambda: f"{d(1)}.{d(2)}.{d(1)}.{d(4)}", lambda: d(draw.randint(9, 19)), lambda: f"{d(4)} {d(4)} {d(4)} {d(4)}", lambda: f"{d(2)}:{d(2)}:{d(2)} {d(2)}", lambda: f"978-{d(1)}-{d(4)}-{d(4)}-{d(1)}", lambda: f"20{d(2)}-{d(2)}-{d(2)} {d(2)}:{d(2)}:{d(2)}", lambda: f"{d(5)} {d(5)}", lambda: f"look at {name(8)}.com", lambda: f"was at {name(6)}.org", lambda: f"{name(7)} at {name(7)}. net", lambda: f"1999-2004 {d(4)}"],
     }
     hints = {"phone": ["call", "phone", "tel"], "card": ["card", "visa"], "ip": ["host", "ip", "server"], "email": ["write", "mail", "contact"], "": ["order", "invoice", "version", "on", "date"]}
@@ -236,10 +260,10 @@ def _lattice(text: str, taken: list[Span] | tuple = ()) -> Iterator[tuple[list[t
         spans = [s for s in dict.fromkeys(candidates(text, *m.span())) if free(*s)]
         if spans:
             yield spans, [_shape(text, *s) for s in spans]
-    if " at " in text or "(at)" in text or "[at]" in text or " @ " in text or "[dot]" in text:
-        for m in _SPELT.finditer(text):
-            if free(*m.span()):
-                yield [m.span()], [_shape(text, *m.span())]
+    for group in spelt(text):
+        spans = [s for s in group if free(*s)]
+        if spans:
+            yield spans, [_shape(text, *s) for s in spans]
 
 
 @functools.lru_cache(1)
@@ -258,14 +282,12 @@ def fitted() -> Field:
 def all_spans(text: str, field: Field) -> tuple[list[Span], list[Span]]:
     """(base spans, base spans and the field's), both in order."""
     base = base_spans(text)
-    if not _DIGIT.search(text) and "at" not in text and "@" not in text:
-        return base, base
     added = [s for spans, features in _lattice(text, base) for s in field.best(spans, features)]
-    digits, spelt = [], []  # stretches come in order, of digits first; neither kind overlaps itself
+    digits, words = [], []  # stretches come in order, of digits first; neither kind overlaps itself
     for s in added:
-        (spelt if spelt or (digits and s[1] < digits[-1][2]) else digits).append(s)
+        (words if words or (digits and s[1] < digits[-1][2]) else digits).append(s)
     free = _free(digits)
-    kept = digits + [s for s in spelt if free(s[1], s[2])]
+    kept = digits + [s for s in words if free(s[1], s[2])]
     return base, sorted(base + kept, key=lambda s: (s[1], KINDS.index(s[0]))) if kept else base
 
 

@@ -65,6 +65,17 @@ def test_pii_field_finds_other_forms():
         assert not pii.all_spans(text, field)[1], text
 
 
+def test_pii_spelt_addresses():
+    """Signs of any case and in any brackets; the field chooses where a domain ends, and hides no address behind another."""
+    field = pii.fitted()
+    for form in ("JOHN AT EXAMPLE DOT COM", "John[AT]example[DOT]com", "john{at}example{dot}com", "john <at> example <dot> com", "john@example dot com", "john (@) example . com", "mary at sales dot example dot org"):
+        assert pii.all_spans(form, field)[1] == [("email", 0, len(form))], form
+    text = "john at example dot com. dan at other dot org"
+    assert [text[a:b] for _, a, b in pii.all_spans(text, field)[1]] == ["john at example dot com", "dan at other dot org"]
+    for text in ("we said that is. The end", "look at this.net soon", "a matter of data. Then"):
+        assert not pii.all_spans(text, field)[1], text
+
+
 def shingles(text, k):
     words = [re.sub("[A-Z]", lambda m: m[0].lower(), w) for w in re.findall(r"[^\x20\x09-\x0D]+", text or "")]
     return {tuple(words[i : i + k]) for i in range(max(1, len(words) - k + 1))} if words else set()
