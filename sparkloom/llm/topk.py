@@ -32,7 +32,8 @@ class Lists:
     def __init__(self, ids: np.ndarray, vectors: np.ndarray):
         order = np.argsort(ids, kind="stable")
         self.ids, self.vectors = ids[order], vectors[order]
-        n, largest = len(ids), float(np.abs(self.vectors).max(initial=0)) ** 2 * self.vectors.shape[1]
+        self.reach = float(np.abs(self.vectors).max(initial=0)) * self.vectors.shape[1]
+        n, largest = len(ids), float(np.abs(self.vectors).max(initial=0)) * self.reach
         self.exact = largest < 2**52
         kind = np.float32 if largest < 2**23 else np.float64  # sums of products stay whole numbers in either
         order = np.argsort(self.vectors, axis=0, kind="stable").T
@@ -50,7 +51,8 @@ class Lists:
         n = len(self.ids)
         for at in range(0, len(queries), TOGETHER):
             part, mine = queries[at : at + TOGETHER], owns[at : at + TOGETHER]
-            if self.exact and n > FEW:
+            sums = self.reach * float(np.abs(part).max(initial=0))  # of queries much larger than the candidates too
+            if self.exact and n > FEW and sums < (2**23 if self.columns.dtype == np.float32 else 2**52):
                 bounds = self._first(part)
                 few_of = [self._read(*row, int(own), k) for row, own in zip(zip(*bounds, strict=True), mine, strict=True)]
             else:

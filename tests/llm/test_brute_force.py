@@ -190,6 +190,17 @@ def test_topk(spark):
     assert got == sorted(want)
 
 
+def test_topk_of_queries_larger_than_candidates():
+    draw = np.random.default_rng(6)
+    for _ in range(20):
+        cell = topk.Lists(np.arange(2000), draw.integers(-3, 4, (2000, 16)) + 100)
+        queries = draw.integers(-3, 4, (8, 16)) + 10_000_000 * draw.choice([-1, 1], (8, 16))
+        for q, (few, score) in zip(queries, cell.top(queries, np.full(8, -1), 5), strict=True):
+            whole = cell.vectors @ q
+            want = np.lexsort((cell.ids, -whole))[:5]
+            assert few.tolist() == want.tolist() and score.tolist() == whole[want].tolist()
+
+
 def voted(words):
     """Labels that the diagonals of a text give, and the largest share of a template; in plain loops."""
     runs = [tuple(words[i : i + licenses.K]) for i in range(len(words) - licenses.K + 1)]
