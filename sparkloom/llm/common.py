@@ -9,6 +9,7 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import functools
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -24,20 +25,31 @@ U64 = np.uint64
 
 # --- written intermediates -------------------------------------------------------------------------------
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; one of our own only where that is unset, as in tests."""
+    """The folder in spark.checkpoint.dir. Only on a single machine, as in tests, one of our own where that is unset."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("on a cluster set spark.checkpoint.dir to a folder that all its machines share")
         base = tempfile.mkdtemp(prefix="checkpoints-")
         spark.sparkContext.setCheckpointDir(base)
     return base
 
 
-def written(df: DataFrame, tag: str) -> DataFrame:
+def new_path(spark: SparkSession, tag: str) -> str:
+    return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, tag: str, path: str | None = None) -> DataFrame:
     """``df`` written to the shared folder and read again: its lineage ends in files that survive lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    path = path or new_path(df.sparkSession, tag)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Deletes a written table that nothing will read again."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -173,8 +185,10 @@ def components(edges: DataFrame) -> DataFrame:
     logarithm of its length. Labels only fall, and rounds go on until none does. They live in written tables between
     rounds; only whether a row changed comes to the driver.
     """
-    both = written(edges.select("a", "b").union(edges.select("b", "a")).filter("a <> b").distinct(), "edges")
-    labels = written(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("component")), "labels")
+    spark = edges.sparkSession
+    edges_at, at = new_path(spark, "edges"), new_path(spark, "labels")
+    both = written(edges.select("a", "b").union(edges.select("b", "a")).filter("a <> b").distinct(), "edges", edges_at)
+    labels = written(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("component")), "labels", at)
     while True:
         seen = both.join(labels, both["b"] == labels["id"]).groupBy("a").agg(F.min("component").alias("seen"))
         near = labels.join(seen, labels["id"] == seen["a"]).select("id", "component", F.least("component", "seen").alias("near"))
@@ -183,7 +197,10 @@ def components(edges: DataFrame) -> DataFrame:
         given = near.select(F.explode(F.when(F.col("near") < F.col("component"), hooks).otherwise(own)).alias("x")).select("x.*")
         hooked = given.groupBy("id").agg(F.max("component").alias("component"), F.min("near").alias("near"))
         to = labels.select(F.col("id").alias("near"), F.col("component").alias("far"))
-        after = written(hooked.join(to, "near").select("id", F.least("near", "far").alias("component"), (F.least("near", "far") < F.col("component")).alias("changed")), "labels")
+        old, at = at, new_path(spark, "labels")
+        after = written(hooked.join(to, "near").select("id", F.least("near", "far").alias("component"), (F.least("near", "far") < F.col("component")).alias("changed")), "labels", at)
+        removed(spark, old)
         labels = after.select("id", "component")
         if after.filter("changed").isEmpty():
+            removed(spark, edges_at)
             return labels

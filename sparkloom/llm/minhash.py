@@ -4,18 +4,27 @@ Each of ``PERMUTATIONS`` hash functions gives two signature values, the smallest
 document's shingles, so half as many evaluations as values are made; both agree between two documents with a
 probability equal to their Jaccard similarity. ``rows`` values make a band. Documents with equal shingle sets
 are one class; a class stands for its copies from then on. In each bucket of a band its members meet the
-bucket's smallest member, their pivot, and all members of a pivot's group are compared on their full shingle
-sets in blocks of bounded size, so that no pair is a row: a block gives at most one edge for each member.
+bucket's smallest member, their pivot, and all members of a pivot's group are compared on their full shingle sets.
+No pair is a row: a block gives at most one edge for each member.
+
+A group that fits in a block is compared whole. A larger one is compared with its pivot first, in blocks that each
+hold the pivot: members linked to it are of one component and need no comparison with each other, and one of them,
+x, can be linked to a member y that isn't only if x lies as far from the pivot as y, less the largest distance of a
+link (Jaccard distance is a metric). So those that aren't linked to the pivot are compared in blocks of bounded size
+with each other and with the linked ones that lie far enough out; the rest is done.
 
 Null or empty texts, and texts of white space only, have no shingles, are linked with nothing and keep
 themselves. Fewer words than a shingle takes make one shingle. Rows that repeat an id with the same text count as
-copies; with another text they are judged by their own text, but links hold for the id. Extra columns are ignored.
+copies; with other texts they are of one component too, since links hold for the id. Rows without an id belong to
+the component of the rows with the same shingles, if one of these has an id; else they have none and are kept. A table
+without rows gives none. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -23,10 +32,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import NOT_SPACE, U64, components, gram_hashes, mix, slices, trim, word_hashes, word_spans, written
+from sparkloom.llm.common import NOT_SPACE, U64, components, gram_hashes, mix, new_path, removed, slices, trim, word_hashes, word_spans, written
 
 BANDS = 30
-BLOCK_MEMBERS, BLOCK_BYTES = 1000, 24 << 20
+BLOCK_MEMBERS, BLOCK_BYTES = 128, 24 << 20
 #: Largest Bloom filter of the ids whose sets are compared; with more ids than it takes, texts are shuffled to them.
 NEED_BITS = 1 << 26
 _SLAB = 2048
@@ -187,62 +196,119 @@ def block_edges(ids: list[int], sides: list[int], sets: list[np.ndarray], percen
     return list(_forest(ids, linked))
 
 
-def links(docs: DataFrame, sig: DataFrame, words: int, threshold: float) -> DataFrame:
-    """(a, b): edges between classes of equal sets whose components are those of all links. sig: signatures(), written."""
-    classes = sig.filter("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("doc_id"))
-    rep = sig.join(classes, ["set_key", "doc_id"], "left_semi").select(F.col("doc_id").alias("rep"), "n_shingles", F.explode("bands").alias("band"))
-    rep = rep.filter("rep is not null").select("rep", "band", F.col("n_shingles").alias("n"))
-    buckets = rep.groupBy("band").agg(F.min("rep").alias("pivot"), F.count("*").alias("members")).filter("members > 1")
-    met = written(rep.join(buckets, "band").groupBy("pivot", "rep").agg(F.max("n").alias("n")), "met")
-    # Written too: a pivot of many members meets its count in a join whose sides are plain exchanges and can be split.
-    blocks = met.groupBy("pivot").agg(F.greatest(F.ceil(F.count("*") / F.lit(BLOCK_MEMBERS)), F.ceil(F.sum("n") * 8 / F.lit(BLOCK_BYTES))).alias("blocks"))
-    blocks = written(blocks, "blocks")
-    own = F.pmod(F.xxhash64("rep"), F.col("blocks"))
-    lanes = F.expr("transform(sequence(0L, blocks - 1), x -> struct(least(x, own) as low, greatest(x, own) as high))")
-    dealt = met.join(blocks, "pivot").withColumn("own", own).select("pivot", "rep", "own", F.explode(lanes).alias("at")).select("pivot", "rep", "own", "at.low", "at.high")
-    need = met.select("rep").distinct()
+def _compared(dealt: DataFrame, docs: DataFrame, words: int, percent: int, repeats: bool) -> DataFrame:
+    """(a, b, linked, n, far) of the members (pivot, low, high, rep, own) dealt out: the edges of blocks, and from
+    blocks with high = -1 each member a with its pivot b, its size n and its distance, linked or not.
+
+    repeats: whether ids occur more than once, so that equal sets of an id have to be made one."""
+    need = dealt.select("rep").distinct()
     whole = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string"))
     count = need.count()
     if count * 16 <= NEED_BITS:
         sets = _sets(whole, words, _bitmap(need, count))  # the join below drops what the bitmap passes wrongly
     else:
         sets = _sets(whole.join(need, "rep", "left_semi"), words)
-    percent = round(100 * threshold)
+    sets = sets.filter(F.octet_length("shingles") > 0).distinct() if repeats else sets
 
     def run(batches):
         key, ids, sides, sets_ = None, [], [], []
+        out: list[tuple] = []
 
         def close():
-            if len(ids) > 1:
-                yield from block_edges(ids, sides, sets_, percent)
+            if key is not None and key[2] < 0:
+                pivot = sets_[0]
+                for id_, s in zip(ids[1:], sets_[1:], strict=True):
+                    if id_ == key[0] and key[1]:
+                        continue  # another set of the pivot's id is a member of the first block only
+                    both = len(np.intersect1d(pivot, s, assume_unique=True))
+                    union = len(pivot) + len(s) - both
+                    out.append((id_, key[0], 100 * both >= percent * union, len(s), 1 - both / union))
+            elif len(ids) > 1:
+                out.extend((a, b, True, None, None) for a, b in block_edges(ids, sides, sets_, percent))
+
+        def rows():
+            columns = list(zip(*out, strict=True)) if out else [()] * 5
+            kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.float64())
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["a", "b", "linked", "n", "far"])
 
         for batch in batches:
-            found: list[tuple[int, int]] = []
             lists = [batch.column(c).to_pylist() for c in ("pivot", "low", "high", "rep", "own")]
             for i, (pivot, low, high, rep_, own_) in enumerate(zip(*lists, strict=True)):
                 if (pivot, low, high) != key:
-                    found += close()
+                    close()
                     key, ids, sides, sets_ = (pivot, low, high), [], [], []
                 ids.append(rep_)
                 sides.append(own_)
                 sets_.append(np.frombuffer(batch.column("shingles")[i].as_py(), U64))
-            yield pa.RecordBatch.from_arrays([pa.array([e[0] for e in found], pa.int64()), pa.array([e[1] for e in found], pa.int64())], ["a", "b"])
-        found = list(close())
+            yield rows()
+            out.clear()
+        close()
         sets_ = []
         trim()
-        yield pa.RecordBatch.from_arrays([pa.array([e[0] for e in found], pa.int64()), pa.array([e[1] for e in found], pa.int64())], ["a", "b"])
+        yield rows()
+
+    order = ["pivot", "low", "high", F.col("rep") != F.col("pivot"), *(["rep", F.xxhash64("shingles")] if repeats else [])]
+    grouped = dealt.join(sets, "rep").repartition("pivot", "low", "high").sortWithinPartitions(*order)
+    return grouped.select("pivot", "low", "high", "rep", "own", "shingles").mapInArrow(run, "a long, b long, linked boolean, n long, far double")
+
 
-    grouped = dealt.join(sets, "rep").repartition("pivot", "low", "high").sortWithinPartitions("pivot", "low", "high")
-    return grouped.select("pivot", "low", "high", "rep", "own", "shingles").mapInArrow(run, "a long, b long")
+def _blocks(members, size) -> F.Column:
+    """How many blocks hold so many members with so many shingles."""
+    return F.greatest(F.ceil(members / F.lit(BLOCK_MEMBERS)), F.ceil(size * 8 / F.lit(BLOCK_BYTES)))
+
+
+def links(docs: DataFrame, sig: DataFrame, words: int, threshold: float) -> tuple[DataFrame, list[str]]:
+    """(a, b): edges between ids of classes of equal sets whose components are those of all links; and the paths of the
+    tables that only they are read from. sig: signatures(), written."""
+    spark, percent, paths = docs.sparkSession, round(100 * threshold), []
+
+    def kept(df: DataFrame, tag: str) -> DataFrame:
+        paths.append(new_path(spark, tag))
+        return written(df, tag, paths[-1])
+
+    sound = sig.filter("set_key is not null")
+    classes = sound.groupBy("set_key").agg(F.min("doc_id").alias("doc_id"))
+    several = kept(sound.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("rows")).filter("rows > 1"), "several")
+    repeats = not several.isEmpty()
+    rep = sig.join(classes, ["set_key", "doc_id"], "left_semi").select(F.col("doc_id").alias("rep"), "n_shingles", F.explode("bands").alias("band"))
+    rep = rep.filter("rep is not null").select("rep", "band", F.col("n_shingles").alias("n"))
+    buckets = rep.groupBy("band").agg(F.min("rep").alias("pivot"), F.count("*").alias("members")).filter("members > 1")
+    met = kept(rep.join(buckets, "band").groupBy("pivot", "rep").agg(F.max("n").alias("n")), "met")
+    # Written too: a pivot of many members meets its count in a join whose sides are plain exchanges and can be split.
+    blocks = kept(met.groupBy("pivot").agg(_blocks(F.count("*"), F.sum("n")).alias("blocks")), "blocks")
+    whole = F.col("blocks") == 1
+    every = F.expr("sequence(0L, blocks - 1)")
+    lanes = F.when((F.col("rep") == F.col("pivot")) & ~whole, every).otherwise(F.array(F.pmod(F.xxhash64("rep"), F.col("blocks"))))
+    dealt = met.join(blocks, "pivot").select("pivot", "rep", F.lit(0).cast("long").alias("own"), F.explode(lanes).alias("low"), F.when(whole, 0).otherwise(-1).cast("long").alias("high"))
+    found = kept(_compared(dealt, docs, words, percent, repeats), "found")
+    edges = [found.filter("linked").select("a", "b")]
+
+    met_pivot = found.filter("far is not null").groupBy(F.col("b").alias("pivot"), F.col("a").alias("rep")).agg(F.max("far").alias("far"), F.bool_and("linked").alias("linked"), F.max("n").alias("n"))
+    least = kept(found.filter("not linked").groupBy(F.col("b").alias("pivot")).agg((F.min("far") - (100 - percent) / 100 - 1e-9).alias("least")), "least")
+    if not least.isEmpty():
+        left = kept(met_pivot.join(least, "pivot").filter("not linked or far >= least").select("pivot", "rep", "linked", "n"), "left")
+        side = lambda c: F.coalesce(_blocks(F.count_if(c), F.sum(F.when(c, F.col("n")))), F.lit(0))
+        counts = kept(left.groupBy("pivot").agg(side(~F.col("linked")).alias("free"), side(F.col("linked")).alias("held")), "counts")
+        own = F.when(F.col("linked"), F.col("free") + F.pmod(F.xxhash64("rep"), F.col("held"))).otherwise(F.pmod(F.xxhash64("rep"), F.col("free")))
+        lanes = F.expr("transform(sequence(0L, if(linked, free, free + held) - 1), x -> struct(least(x, own) as low, greatest(x, own) as high))")
+        again = left.join(counts, "pivot").withColumn("own", own).select("pivot", "rep", "own", F.explode(lanes).alias("at")).select("pivot", "rep", "own", "at.low", "at.high")
+        edges.append(kept(_compared(again, docs, words, percent, repeats), "rest").select("a", "b"))
+    if repeats:
+        of = sound.select("doc_id", "set_key").join(several, "doc_id", "left_semi").distinct()
+        edges.append(of.join(classes.withColumnRenamed("doc_id", "rep"), "set_key").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")))
+    return reduce(DataFrame.unionAll, edges), paths
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, threshold: float = 0.8) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of ``docs`` (doc_id, text)."""
     sig = written(signatures(docs, words, threshold), "signatures")
-    found = components(links(docs, sig, words, threshold))
+    edges, paths = links(docs, sig, words, threshold)
+    found = components(edges)
+    for path in paths:
+        removed(docs.sparkSession, path)
     rep = sig.filter("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep"))
     # Written, so that both sides of the last join are plain exchanges and the rows of a hot set can be split over tasks.
     named = written(rep.join(found, rep["rep"] == found["id"], "left").select("set_key", F.coalesce("component", "rep").alias("component")), "classes")
     out = sig.select("doc_id", "n_shingles", "set_key").join(named, "set_key", "left")
-    component = F.coalesce("component", "doc_id")
+    component = F.when(F.col("set_key").isNull(), F.col("doc_id")).otherwise(F.col("component"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
