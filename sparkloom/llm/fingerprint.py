@@ -1,55 +1,58 @@
 """Document fingerprints from prefix polynomial hashes.
 
-For a text of code points c the prefix array holds the sums of c[i] B^i modulo a prime, for two primes below 2^31.
-The difference of two of its entries stands for the span between them, up to a power of B; so any two spans, of
-one text or of two, are compared in constant time, and the longest common extension from two places is found by
-binary search. The fingerprint is a sketch of all spans of ``SPAN`` code points: the ``SKETCH`` smallest of their
-mixed hashes, with the length and the hash of the whole text before them. The likeness of two fingerprints is the
-share of spans in common (twice the common ones by the sum of both), as the sketches estimate it; it is 1 for equal
-texts.
-
-A null text is an empty one; a text shorter than a span is one span. Rows are ordered by id, those without one
-last, and rows that repeat an id by their text, so "the next document" is defined for all; the last row's is the
-first, and a single row is its own. Extra columns are ignored.
+For a text of code points c the prefix array holds h[i + 1] = h[i] B + c[i] + 1 modulo a prime, for two primes below
+2^31. h[i + n] - h[i] B^n stands for the span of n code points at i; so any two spans, of one text or of two, are
+compared in constant time, and the longest common extension from two places is found by binary search. Prefix arrays
+are made CHUNK places at a time. The fingerprint is a sketch of all spans of ``SPAN`` code points: the ``SKETCH``
+smallest of their mixed hashes, with the length and the hash of the whole text before them. The likeness of two
+fingerprints is the share of spans in common (twice the common ones by the sum of both), as the sketches estimate it,
+with a standard error of about 0.06; it is 1 for equal texts.
+
+Rows are ordered by id, those without one last, and rows that repeat an id by a hash of their text and by the text, so
+"the next document" is defined for all; the last row's is the first, and a single row is its own. Rows are dealt out in
+ranges of that order, whose limits (id, hash) come from a sample: about RANGE_BYTES of texts each, and RANGES of them
+at most, so that what the driver holds and sends is bounded; in larger tables ranges grow, and are sorted and streamed.
+So rows that share an id, or have none, are spread too; only equal rows stay together.
+
+A null text is an empty one; a text shorter than a span is one span. A text takes about 16 bytes of memory a code
+point besides itself, and a task holds two texts and the edited one. Extra columns are ignored; a table without rows
+gives none.
 """
 
 from __future__ import annotations
 
 import functools
 import hashlib
+from bisect import bisect_right
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import U64, mix
+from sparkloom.llm.common import U64, mix, trim
 
-PRIMES, BASE, SPAN, SKETCH = (2147483647, 2147483629), 1315423911, 24, 64
-#: Texts of about so many bytes make a range; ids sampled for the cuts between ranges.
-RANGE_CHARS, SAMPLES = 6_000_000, 20
+PRIMES, BASE, SPAN, SKETCH, CHUNK = (2147483647, 2147483629), 1315423911, 24, 64, 1 << 14
+#: Texts of about so many bytes make a range, of which there are RANGES at most; keys sampled for the cuts between ranges.
+RANGE_BYTES, RANGES, SAMPLES = 6_000_000, 100_000, 20
 
 
-@functools.lru_cache(2)
-def _powers(size: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each prime the powers of the base and of its inverse."""
+@functools.lru_cache(1)
+def _powers() -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each prime the first CHUNK + 1 powers of the base and of its inverse."""
     out = []
     for p in PRIMES:
         pair = []
         for base in (BASE % p, pow(BASE % p, -1, p)):
             run = np.ones(1, U64)
-            while len(run) <= size:
+            while len(run) <= CHUNK:
                 run = np.concatenate([run, run * U64(pow(base, len(run), p)) % U64(p)])
-            pair.append(run[: size + 1])
+            pair.append(run[: CHUNK + 1])
         out.append(tuple(pair))
     return out
 
 
-def _size(n: int) -> int:
-    return 1 << max(14, int(n).bit_length())
-
-
 class Prefixes:
     """Prefix arrays of a text; edited() makes those of an edited text from those of its parts."""
 
@@ -58,25 +61,37 @@ class Prefixes:
 
     @classmethod
     def of(cls, points: np.ndarray) -> Prefixes:
-        n, c = len(points), points.astype(np.uint64) + U64(1)
-        arrays = []
-        for p, (up, _) in zip(PRIMES, _powers(_size(n)), strict=True):
-            total = np.zeros(n + 1, U64)
-            np.cumsum(c * up[:n] % U64(p), out=total[1:])  # each term is below 2^31, so 2^32 of them fit
-            arrays.append(total % U64(p))
+        n, arrays = len(points), []
+        for p, (up, down) in zip(PRIMES, _powers(), strict=True):
+            out, last = np.zeros(n + 1, np.uint32), 0
+            for at in range(0, n, CHUNK):
+                c = points[at : at + CHUNK].astype(U64) + U64(1)
+                m = len(c)
+                # sums of c[j] B^-j, below 2^45, times B^i: the hashes of this chunk alone; and the text before it
+                run = np.cumsum(c * down[:m] % U64(p)) % U64(p) * up[:m] % U64(p)
+                if last:
+                    run = (run + up[1 : m + 1] * U64(last) % U64(p)) % U64(p)
+                out[at + 1 : at + m + 1] = run
+                last = int(run[-1])
+            arrays.append(out)
         return cls(arrays)
 
     def edited(self, keep: int, other: Prefixes, take: int) -> Prefixes:
         """Of the first ``keep`` code points, and behind them the first ``take`` of the other text."""
         arrays = []
-        for p, (up, _), a, b in zip(PRIMES, _powers(_size(self.n)), self.arrays, other.arrays, strict=True):
-            arrays.append(np.concatenate([a[: keep + 1], (a[keep] + b[1 : take + 1] * up[keep]) % U64(p)]))
+        for p, (up, _), a, b in zip(PRIMES, _powers(), self.arrays, other.arrays, strict=True):
+            out = np.empty(keep + take + 1, np.uint32)
+            out[: keep + 1] = a[: keep + 1]
+            for at in range(0, take, CHUNK):
+                m = min(CHUNK, take - at)
+                before = U64(int(a[keep]) * pow(BASE, at, p) % p)
+                out[keep + at + 1 : keep + at + m + 1] = (b[at + 1 : at + m + 1] + up[1 : m + 1] * before % U64(p)) % U64(p)
+            arrays.append(out)
         return Prefixes(arrays)
 
     def span(self, start: int, size: int) -> tuple[int, ...]:
         """The hash of a span, wherever it lies."""
-        powers = _powers(_size(self.n))
-        return tuple(int((int(a[start + size]) - int(a[start])) % p * int(down[start]) % p) for p, (_, down), a in zip(PRIMES, powers, self.arrays, strict=True))
+        return tuple((int(a[start + size]) - int(a[start]) * pow(BASE, size, p)) % p for p, a in zip(PRIMES, self.arrays, strict=True))
 
     def same(self, start: int, other: Prefixes, at: int, size: int) -> bool:
         return self.span(start, size) == other.span(at, size)
@@ -93,20 +108,25 @@ class Prefixes:
         """32-bit hashes, of 62 bits, of all spans of ``size`` that start in [low, high)."""
         high = self.n - size + 1 if high is None else min(high, self.n - size + 1)
         if high <= low:
-            return np.empty(0, U64)
-        parts = []
-        for p, (_, down), a in zip(PRIMES, _powers(_size(self.n)), self.arrays, strict=True):
-            parts.append((a[low + size : high + size] + U64(p) - a[low:high]) % U64(p) * down[low:high] % U64(p))
-        return mix((parts[0] << U64(32)) | parts[1]) >> U64(32)
+            return np.empty(0, np.uint32)
+        out = np.empty(high - low, np.uint32)
+        for at in range(low, high, CHUNK):
+            end, parts = min(high, at + CHUNK), []
+            for p, a in zip(PRIMES, self.arrays, strict=True):
+                parts.append((a[at + size : end + size] + U64(p) - a[at:end] * U64(pow(BASE, size, p)) % U64(p)) % U64(p))
+            out[at - low : end - low] = mix((parts[0] << U64(32)) | parts[1]) >> U64(32)
+        return out
 
 
 def _smallest(hashes: list[np.ndarray]) -> np.ndarray:
-    h = np.concatenate(hashes)
-    near = h
-    if len(h) > 16 * SKETCH:
-        near = np.partition(h, 8 * SKETCH)[: 8 * SKETCH]
-    out = np.unique(near)
-    return (np.unique(h) if len(out) < SKETCH < len(h) else out)[:SKETCH]
+    """The SKETCH smallest distinct hashes, in order."""
+    few = []
+    for h in hashes:
+        if len(h) > 16 * SKETCH:
+            near = np.unique(np.partition(h, 8 * SKETCH)[: 8 * SKETCH])
+            h = near if len(near) >= SKETCH else np.unique(h)
+        few.append(h)
+    return np.unique(np.concatenate(few))[:SKETCH]
 
 
 class Print:
@@ -115,7 +135,7 @@ class Print:
     def __init__(self, text: str):
         self.text, self.prefixes = text, Prefixes.of(np.frombuffer(text.encode("utf-32-le"), np.uint32))
         self.n = self.prefixes.n
-        self.hashes = self.prefixes.spans(SPAN) if self.n >= SPAN else self.prefixes.spans(self.n) if self.n else np.empty(0, U64)
+        self.hashes = self.prefixes.spans(SPAN) if self.n >= SPAN else self.prefixes.spans(self.n) if self.n else np.empty(0, np.uint32)
         self.sketch = _smallest([self.hashes])
         self.name = named(self.prefixes, self.sketch)
 
@@ -142,10 +162,10 @@ def compare(own: Print, after: Print) -> tuple:
     text = own.text[:keep] + after.text[:take]
     edited = own.prefixes.edited(keep, after.prefixes, take)
     if edited.n < SPAN:
-        sketch = _smallest([edited.spans(edited.n)]) if edited.n else np.empty(0, U64)
+        sketch = _smallest([edited.spans(edited.n)]) if edited.n else np.empty(0, np.uint32)
     else:
         inner = max(0, keep - SPAN + 1)
-        sketch = _smallest([own.hashes[:inner] if own.n >= SPAN else np.empty(0, U64), edited.spans(SPAN, inner, keep), after.hashes[: max(0, take - SPAN + 1)] if after.n >= SPAN else np.empty(0, U64)])
+        sketch = _smallest([own.hashes[:inner] if own.n >= SPAN else np.empty(0, np.uint32), edited.spans(SPAN, inner, keep), after.hashes[: max(0, take - SPAN + 1)] if after.n >= SPAN else np.empty(0, np.uint32)])
     name = named(edited, sketch)
     return (own.n, hashlib.sha256(text.encode()).hexdigest(), own.name, name, 1.0 if own.name == name else likeness(own.sketch, sketch), 1.0 if own.name == after.name else likeness(own.sketch, after.sketch), own.prefixes.extension(0, edited, 0), own.prefixes.extension(0, after.prefixes, 0))
 
@@ -153,44 +173,54 @@ def compare(own: Print, after: Print) -> tuple:
 _OUT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, lce_edited long, lce_next long"
 
 
-def _cuts(ids: DataFrame) -> tuple[list[int], int | None]:
-    """Ids at which ranges start, from a sample by hash, SAMPLES a range; and the smallest id."""
-    seen = ids.agg(F.sum("n").alias("chars"), F.count("doc_id").alias("rows"), F.min("doc_id").alias("low")).first()
-    ranges = -(-(seen["chars"] or 0) // RANGE_CHARS)
-    if ranges < 2 or not seen["rows"]:
-        return [], seen["low"]
+def _key() -> list[Column]:
+    """A row's id in two columns without nulls."""
+    return [F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id")]
+
+
+def _cuts(keyed: DataFrame) -> list[tuple[bool, int, int]]:
+    """Keys at which ranges start, beginning with the least of all, from a sample by hash, SAMPLES a range."""
+    seen = keyed.agg(F.sum("n").alias("bytes"), F.count("*").alias("rows"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_hash")).alias("low")).first()
+    if not seen["rows"]:
+        return []
+    low = (seen["low"]["none"], seen["low"]["doc_id"] or 0, seen["low"]["_hash"])
+    ranges = max(1, min(RANGES, -(-seen["bytes"] // RANGE_BYTES), seen["rows"]))
     share = min(1.0, ranges * SAMPLES / seen["rows"])
-    picked = ids.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 31)) < int(share * (1 << 31))).select("doc_id").distinct()
-    sample = sorted(r[0] for r in picked.toLocalIterator() if r[0] is not None and r[0] > seen["low"])
-    return sorted({sample[i * len(sample) // ranges] for i in range(1, ranges)}) if sample else [], seen["low"]
+    picked = keyed.filter(F.pmod(F.xxhash64("doc_id", "_hash"), F.lit(1 << 31)) < int(share * (1 << 31))).select(*_key(), "_hash").distinct()
+    none, ids, hashes = picked.toArrow().to_pandas().to_numpy(object).T.reshape(3, -1) if ranges > 1 else np.empty((3, 0), object)
+    none, ids, hashes = none.astype(bool), ids.astype(np.int64), hashes.astype(np.int64)
+    order = np.lexsort((hashes, ids, none))
+    picks = order[np.arange(1, ranges) * len(order) // ranges] if len(order) else order
+    return sorted({low, *(k for k in zip(none[picks].tolist(), ids[picks].tolist(), hashes[picks].tolist(), strict=True) if k > low)})
 
 
 def _ranged(docs: DataFrame) -> DataFrame:
-    """(doc_id, text, _range, _mark): rows by the range that their ids lie in, and the first rows of each range once
-    more, marked, in the range before it; those of the first range are in the last."""
+    """(doc_id, text, _hash, _range, _mark): rows by the range that their keys lie in, and the first rows of each range
+    once more, marked, in the range before it; those of the first range are in the last."""
     docs = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    cuts, low = _cuts(docs.select("doc_id", F.octet_length("text").alias("n")))
-    starts = docs.sparkSession.sparkContext.broadcast(np.array(cuts, np.int64))
-    nulls = not docs.filter("doc_id is null").isEmpty()
-    last = len(cuts) + int(nulls and low is not None)
-
-    @F.pandas_udf("int")
-    def place(ids: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(starts.value, ids.to_numpy(), "right").astype(np.int32))
-
-    ranged = docs.withColumn("_range", F.when(F.col("doc_id").isNull(), last).otherwise(place(F.coalesce("doc_id", F.lit(0)))))
-    first = F.col("doc_id").isNull() | (F.col("doc_id") == F.lit(low)) | (_member(F.col("doc_id"), starts) if cuts else F.lit(False))
-    before = F.when(F.col("_range") == 0, last).otherwise(F.col("_range") - 1)
-    here, there = F.struct("_range", F.lit(False).alias("_mark")), F.struct(before.alias("_range"), F.lit(True).alias("_mark"))
-    return ranged.withColumn("_at", F.explode(F.when(first, F.array(here, there)).otherwise(F.array(here)))).select("doc_id", "text", "_at._range", "_at._mark")
-
-
-def _member(ids, starts) -> F.Column:
-    @F.pandas_udf("boolean")
-    def member(values: pd.Series) -> pd.Series:
-        return pd.Series(np.isin(values.to_numpy(), starts.value))
-
-    return member(F.coalesce(ids, F.lit(0)))
+    docs = docs.withColumn("_hash", F.xxhash64("text"))
+    cuts = docs.sparkSession.sparkContext.broadcast(_cuts(docs.select("doc_id", "_hash", F.octet_length("text").alias("n"))))
+
+    @F.pandas_udf("_range int, _first boolean")
+    def place(without: pd.Series, id_: pd.Series, hash_: pd.Series) -> pd.DataFrame:
+        """The range of each row, and whether its key is the range's first."""
+        starts = cuts.value
+        ids = np.array([c[1] for c in starts if not c[0]], np.int64)
+        none, own, h = without.to_numpy(bool), id_.to_numpy(np.int64), hash_.to_numpy(np.int64)
+        at = np.where(none, len(ids), np.searchsorted(ids, own, "right")) - 1
+        # keys that share their id with a cut, or have none, are placed by their hashes too
+        close = np.flatnonzero(none | ((at >= 0) & (ids[np.maximum(at, 0)] == own))) if len(ids) else np.arange(len(own))
+        keys = [(bool(none[i]), int(own[i]), int(h[i])) for i in close]
+        at[close] = [bisect_right(starts, k) - 1 for k in keys]
+        first = np.zeros(len(own), bool)
+        first[close] = [starts[a] == k for a, k in zip(at[close].tolist(), keys, strict=True)]
+        return pd.DataFrame({"_range": at.astype(np.int32), "_first": first})
+
+    placed = docs.withColumn("_at", place(*_key(), "_hash"))
+    last = F.lit(max(len(cuts.value) - 1, 0))
+    before = F.when(F.col("_at._range") == 0, last).otherwise(F.col("_at._range") - 1)
+    here, there = F.struct(F.col("_at._range").alias("_range"), F.lit(False).alias("_mark")), F.struct(before.alias("_range"), F.lit(True).alias("_mark"))
+    return placed.withColumn("_to", F.explode(F.when(F.col("_at._first"), F.array(here, there)).otherwise(F.array(here)))).select("doc_id", "text", "_hash", "_to._range", "_to._mark")
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -211,5 +241,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             columns = list(zip(*rows, strict=True)) if rows else [()] * 9
             types = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], [f.split()[0] for f in _OUT.split(", ")])
+        trim()
 
-    return _ranged(docs).repartition("_range").sortWithinPartitions("_range", "_mark", F.col("doc_id").asc_nulls_last(), "text").mapInArrow(run, _OUT)
+    order = ("_range", "_mark", F.col("doc_id").asc_nulls_last(), "_hash", "text")
+    return _ranged(docs).repartition("_range").sortWithinPartitions(*order).mapInArrow(run, _OUT)
