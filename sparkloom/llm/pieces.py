@@ -4,10 +4,13 @@ A chunk of text starts as single characters. An agenda holds its adjacent pairs
 score, then from the left; the best is merged until none is left. Characters outside the vocabulary become byte
 pieces. No piece holds a mark of white space behind other characters, nor a line end, so words are chunks of their
 own and lines are cut apart; neither changes a merge. The new chunks of an Arrow batch are merged in step, with
-arrays; chunks are merged once per worker and then looked up. In each Arrow batch, of every ``check_every`` texts one
-goes whole through the sentencepiece library too, and a difference ends the job.
+arrays; chunks are merged once per worker and then looked up, in a cache bounded by CACHE chunks and CACHE_CHARS
+characters. Of each Arrow batch the first text, and of every ``check_every`` texts of a stream one more, go whole through
+the sentencepiece library too, and so does every chunk of a rare sort (merged alone for its length, of byte pieces, or
+with a run of blanks) when it is merged; a difference ends the job.
 
-A null text is an empty one, which has the end id alone. Long texts are taken whole. Extra columns are kept out.
+A null text is an empty one, which has the end id alone. Long texts are taken whole; repeated rows are coded each, and
+rows without an id too. A table without rows gives none. Extra columns are kept out.
 """
 
 from __future__ import annotations
@@ -21,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,9 +32,11 @@ from sparkloom.llm.common import trim
 
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
-#: Chunks in one generation of a cache; rows handled together; longest chunk that is merged in step.
-CACHE, SLICE, LONG, CHECK_EVERY = 60_000, 256, 96, 512
+#: Chunks and their characters in one generation of a cache; rows, and bytes but for a single longer text, handled
+#: together; longest chunk that is merged in step.
+CACHE, CACHE_CHARS, SLICE, SLICE_BYTES, LONG, CHECK_EVERY = 250_000, 8_000_000, 1_024, 4 << 20, 96, 512
 NONE = np.iinfo(np.int64).max
+_BLANKS = (MARK + MARK, "\n" + MARK)
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
@@ -246,7 +252,7 @@ class Coder:
     """Texts to ids and back; chunks seen before are looked up, in two generations."""
 
     def __init__(self, path: str):
-        self.vocabulary = Vocabulary(path)
+        self.path, self.vocabulary = path, Vocabulary(path)
         if not self.vocabulary.prefix or any("\n" in p for p in self.vocabulary.ids):
             raise ValueError("only vocabularies with a mark before the text and without pieces over line ends are read here")
         self.known = _Cache()
@@ -269,18 +275,22 @@ class Coder:
             out += found
         return out
 
-    def learn(self, keys: set[str]) -> None:
-        """Merges the chunks that are in neither generation; known holds (decimal ids joined by spaces, decoded text)."""
+    def learn(self, keys: set[str], check: bool = False) -> None:
+        """Merges the chunks that are in neither generation; known holds (decimal ids joined by spaces, decoded text).
+        check: those of rare sorts go through the library too."""
         self.known.age()
         fresh = list(keys - self.known.keys() - self.known.old.keys())
         found = self.vocabulary.merge_all([k if k[0] in "\n" + MARK else MARK + k for k in fresh])
-        decimal, decode = self.vocabulary.decimal.__getitem__, self.vocabulary.decode
+        decimal, decode, plain = self.vocabulary.decimal.__getitem__, self.vocabulary.decode, self.vocabulary.plain_from
+        if check:
+            check_chunks(self.path, {k: ids for k, ids in zip(fresh, found, strict=True) if len(k) >= LONG or min(ids, default=plain) < plain or k[:2] in _BLANKS})
         self.known.update({k: (" ".join(map(decimal, ids)), decode(ids)) for k, ids in zip(fresh, found, strict=True)})
+        self.known.chars += sum(map(len, fresh))
 
-    def code(self, texts: list[str]) -> tuple[list[str], list[str]]:
+    def code(self, texts: list[str], check: bool = False) -> tuple[list[str], list[str]]:
         """For each text its ids with the end id, as decimals joined by spaces, and the text that they decode to."""
         chunks = [self.chunks(t) for t in texts]
-        self.learn(set().union(*chunks))
+        self.learn(set().union(*chunks), check)
         ids, back = [], []
         for keys in chunks:
             pairs = list(map(self.known.__getitem__, keys))
@@ -293,15 +303,19 @@ class Coder:
 class _Cache(dict):
     """Two generations: a full young one is aged, and what is used again returns from the old one."""
 
-    old: dict = {}
+    def __init__(self):
+        self.old: dict = {}
+        self.chars = 0
 
     def age(self) -> None:
-        if len(self) >= CACHE:
+        if len(self) >= CACHE or self.chars >= CACHE_CHARS:
             self.old = dict(self)
             self.clear()
+            self.chars = 0
 
     def __missing__(self, key):
         value = self[key] = self.old[key]
+        self.chars += len(key)
         return value
 
 
@@ -327,19 +341,32 @@ def check_batch(path: str, texts: list[str], ids: list[str], decoded: list[str])
             raise AssertionError(f"the library differs on a text that starts {text[:60]!r}")
 
 
+def check_chunks(path: str, found: dict[str, list[int]]) -> None:
+    """Compares the ids of chunks with the library's. It puts a mark before whatever it gets, as chunks() leaves off
+    words; before a line end that mark is a piece of its own."""
+    library, keys = _library(path), list(found)
+    texts = [k.lstrip(MARK) if k[0] != MARK else k.replace(MARK, " ")[1:] for k in keys]
+    for key, other in zip(keys, library.encode(texts, num_threads=1), strict=True):
+        if found[key] != (other[1:] if key[0] == "\n" else other):
+            raise AssertionError(f"the library differs on a chunk that starts {key[:60]!r}")
+
+
 def _coded(batches, model_path: str, check_every: int):
-    """(batch slice, ids, decoded texts); of each ``check_every`` rows the first goes through the library too."""
+    """(batch slice, ids, decoded texts); of each batch the first row goes through the library too, and one of
+    ``check_every`` rows of the stream. 0: none does, and no chunk."""
     coder = coder_of(model_path)
     seen = 0
     for batch in batches:
-        for at in range(0, batch.num_rows, SLICE):
-            part = batch.slice(at, SLICE)
+        total = np.concatenate([[0], np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0))])
+        at = 0
+        while at < batch.num_rows:
+            part = batch.slice(at, min(SLICE, max(1, int(np.searchsorted(total, total[at] + SLICE_BYTES, "right")) - 1 - at)))
             texts = [t or "" for t in part.column("text").to_pylist()]
-            ids, decoded = coder.code(texts)
+            ids, decoded = coder.code(texts, bool(check_every))
             if check_every:
-                pick = range(-seen % check_every, len(texts), check_every)
+                pick = [i for i in range(len(texts)) if not (seen + i) % check_every or not at + i]
                 check_batch(model_path, [texts[i] for i in pick], [ids[i] for i in pick], [decoded[i] for i in pick])
-            seen += len(texts)
+            seen, at = seen + len(texts), at + len(texts)
             yield part, ids, decoded
     trim()
 
