@@ -1,46 +1,16 @@
 """The corpus pipeline: documents to token digests, a stage for each decision. Part of subpackage ``llm``.
 
 Every stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; each is written as Parquet and
-read again. Stages but the last return the columns of documents. A table without rows goes through as one.
+read again. Stages but the last return the columns of documents. What each does with nulls, empty texts and repeated
+rows is said there.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from sparkloom.llm import minhash, mixing, pieces, pii, toxicity
 from sparkloom.llm.common import table, written
-from sparkloom.llm.queries import tokenizer_path
-
-
-def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier doesn't call toxic."""
-    return toxicity.clean(docs, table(spark, sf_dir, "labels"))
-
-
-def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates (five words, 0.8) the document with the smallest id."""
-    kept = minhash.near_duplicates(docs, words=5, threshold=0.8).filter("kept").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_id"]), "left_semi")
-
-
-def redact_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with personal data replaced by the name of its kind."""
-    return pii.redacted(docs)
-
-
-def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """What the mix takes: whole documents, once for each time, and the chosen blocks of others."""
-    return mixing.mixed(docs)
-
-
-def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every row."""
-    return pieces.digests(docs, tokenizer_path("piece_bpe_32k.model"))
-
-
-STAGES = [("toxicity", drop_toxic), ("near_dedup", drop_near_duplicates), ("pii", redact_pii), ("mixing", mix_sources), ("encode", encode)]
+from sparkloom.llm.stages import STAGES
 
 #: The classifier's training, the sketches and the merges have no SQL form; tests hold stages against brute force.
 ORACLE_SQL = None
