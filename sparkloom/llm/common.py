@@ -58,6 +58,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def trim() -> None:
     """Gives freed memory back at the end of a task; workers live on, and executors count what they hold."""
+    _powers.cache_clear()
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):
         ctypes.CDLL(None).malloc_trim(0)

@@ -34,7 +34,7 @@ MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
 #: Chunks and their characters in one generation of a cache; rows, and bytes but for a single longer text, handled
 #: together; longest chunk that is merged in step.
-CACHE, CACHE_CHARS, SLICE, SLICE_BYTES, LONG, CHECK_EVERY = 250_000, 8_000_000, 1_024, 4 << 20, 96, 512
+CACHE, CACHE_CHARS, SLICE, SLICE_BYTES, LONG, CHECK_EVERY = 80_000, 6_000_000, 512, 2 << 20, 96, 512
 NONE = np.iinfo(np.int64).max
 _BLANKS = (MARK + MARK, "\n" + MARK)
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
@@ -276,15 +276,17 @@ class Coder:
         return out
 
     def learn(self, keys: set[str], check: bool = False) -> None:
-        """Merges the chunks that are in neither generation; known holds (decimal ids joined by spaces, decoded text).
-        check: those of rare sorts go through the library too."""
+        """Merges the chunks that are in neither generation; known holds their decimal ids joined by spaces, with the text
+        that they decode to unless that is the chunk behind a blank. check: those of rare sorts go through the library too."""
         self.known.age()
         fresh = list(keys - self.known.keys() - self.known.old.keys())
         found = self.vocabulary.merge_all([k if k[0] in "\n" + MARK else MARK + k for k in fresh])
         decimal, decode, plain = self.vocabulary.decimal.__getitem__, self.vocabulary.decode, self.vocabulary.plain_from
         if check:
             check_chunks(self.path, {k: ids for k, ids in zip(fresh, found, strict=True) if len(k) >= LONG or min(ids, default=plain) < plain or k[:2] in _BLANKS})
-        self.known.update({k: (" ".join(map(decimal, ids)), decode(ids)) for k, ids in zip(fresh, found, strict=True)})
+        for key, ids in zip(fresh, found, strict=True):
+            text, own = decode(ids), " ".join(map(decimal, ids))
+            self.known[key] = own if text[:1] == " " and text[1:] == key else (own, text)
         self.known.chars += sum(map(len, fresh))
 
     def code(self, texts: list[str], check: bool = False) -> tuple[list[str], list[str]]:
@@ -293,9 +295,9 @@ class Coder:
         self.learn(set().union(*chunks), check)
         ids, back = [], []
         for keys in chunks:
-            pairs = list(map(self.known.__getitem__, keys))
-            ids.append(" ".join([*[p[0] for p in pairs], self.end]))
-            text = "".join([p[1] for p in pairs])
+            held = list(map(self.known.__getitem__, keys))
+            ids.append(" ".join([*[h if type(h) is str else h[0] for h in held], self.end]))
+            text = "".join([f" {k}" if type(h) is str else h[1] for k, h in zip(keys, held, strict=True)])
             back.append(text[1:] if text[:1] == " " else text)
         return ids, back
 
@@ -358,7 +360,7 @@ def _coded(batches, model_path: str, check_every: int):
     seen = 0
     for batch in batches:
         total = np.concatenate([[0], np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0))])
-        at = 0
+        at, part, texts, ids, decoded = 0, None, [], [], []
         while at < batch.num_rows:
             part = batch.slice(at, min(SLICE, max(1, int(np.searchsorted(total, total[at] + SLICE_BYTES, "right")) - 1 - at)))
             texts = [t or "" for t in part.column("text").to_pylist()]
@@ -368,6 +370,7 @@ def _coded(batches, model_path: str, check_every: int):
                 check_batch(model_path, [texts[i] for i in pick], [ids[i] for i in pick], [decoded[i] for i in pick])
             seen, at = seen + len(texts), at + len(texts)
             yield part, ids, decoded
+        del batch, part, texts, ids, decoded  # before the next batch is read
     trim()
 
 

@@ -32,6 +32,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparkloom.llm.common import trim
+
 KINDS = ("email", "ip", "card", "phone")
 MAX_GROUPS, EPOCHS, RATE, STRETCHES = 8, 4, 0.3, 900
 
@@ -390,6 +392,7 @@ def found(docs: DataFrame) -> DataFrame:
                     rows.append((*(sum(s[0] == k for s in base) for k in KINDS), hashlib.sha256(joined(base).encode()).hexdigest(), joined(every)))
                 columns = list(zip(*rows, strict=True))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(c, pa.int64()) for c in columns[:4]), *(pa.array(c, pa.string()) for c in columns[4:])], ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans"])
+        trim()
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
 
@@ -419,6 +422,7 @@ def redacted(docs: DataFrame) -> DataFrame:
                     spans = all_spans(text, field)[1] if text else []
                     texts.append(redact(text, spans) if spans else text)
                 yield part.set_column(part.schema.get_field_index("text"), part.schema.field("text"), pa.array(texts, part.schema.field("text").type))
+        trim()
 
     out = docs.mapInArrow(run, docs.schema)
     return out.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out

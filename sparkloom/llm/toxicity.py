@@ -137,5 +137,6 @@ def clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
         for batch in batches:
             for row, end, score in _scores(batch, model.value[0], dense):
                 yield batch.slice(row, end - row).filter(pa.array(score < THRESHOLD))
+        trim()
 
     return docs.mapInArrow(run, docs.schema)
