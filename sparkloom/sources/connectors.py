@@ -74,6 +74,6 @@ def simulated(spark: SparkSession, shape: str, rows: int = 1_000) -> DataFrame:
 
 def payload_frame(spark: SparkSession, payloads: list[str]) -> DataFrame:
     """A batch of JSON texts as rows, with the schema inferred over all of them."""
-    texts = spark.createDataFrame([(p,) for p in payloads], "value string")
-    schema = spark.read.json(texts.rdd.map(lambda r: r[0])).schema
-    return texts.select(F.from_json("value", schema).alias("r")).select("r.*")
+    ddl = spark.range(1).select(F.schema_of_json(F.lit(f"[{','.join(payloads)}]"))).first()[0]
+    texts = spark.createDataFrame([(f"[{p}]",) for p in payloads], "value string")
+    return texts.select(F.explode(F.from_json("value", ddl)).alias("r")).select("r.*")

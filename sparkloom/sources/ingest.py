@@ -12,14 +12,6 @@ from sparkloom.sources.connectors import Checkpoint, JsonConnector, payload_fram
 from sparkloom.sources.flatten import evolution, flatten
 from sparkloom.sources.store import TableStore
 
-#: What a column's name says about it. Fixed values: (name part, tag).
-TAGS = (("_at", "time/event"), ("date", "time/event"), ("time", "time/event"), ("id", "key/natural"), ("amount", "fact/amount"), ("price", "fact/amount"), ("total", "fact/amount"), ("user", "dimension/user"), ("customer", "dimension/user"))
-
-
-def tag(column: str) -> str | None:
-    return next((t for part, t in TAGS if part in column.lower()), None)
-
-
 @dataclass
 class Run:
     table: str
@@ -35,7 +27,7 @@ class Ingestion:
     def __init__(self, store: TableStore):
         self.store, self.runs, self.lineage = store, [], []
 
-    def _load(self, run: Run, tables: dict[str, DataFrame], source: str) -> None:
+    def _load(self, run: Run, tables: dict[str, DataFrame], source: str, batch: tuple[str, int] | None = None) -> None:
         for name, rows in tables.items():
             # an array without elements tells no type; where its elements have a table of their own it is no column
             rows = rows.drop(*[c for c, t in rows.dtypes if t.startswith("array") and (f"{name}__{c}" in tables or self.store.history(f"{name}__{c}"))])
@@ -47,8 +39,7 @@ class Ingestion:
                 if kind == "break" and (lost := [c for c in columns if c not in rows.columns]):
                     rows = rows.withColumns({c: F.lit(None).cast(self.store.read(name).schema[c].dataType) for c in lost})
             run.evolved[name] = max(kind, run.evolved.get(name, "none"), key=["none", "add", "break"].index)
-            run.rows[name] = run.rows.get(name, 0) + rows.count()
-            self.store.evolve(name, rows)
+            run.rows[name] = run.rows.get(name, 0) + self.store.evolve(name, rows, batch)
             self.lineage.append({"source": source, "table": name, "columns": rows.columns, "rows": run.rows[name]})
 
     def ingest(self, connector: JsonConnector, table: str, key: str | None = None, checkpoint: Checkpoint = Checkpoint()) -> Run:
@@ -62,15 +53,16 @@ class Ingestion:
         self.runs.append(run)
         return run
 
-    def ingest_frame(self, df: DataFrame, table: str, key: str | None = None, source: str = "frame") -> Run:
+    def ingest_frame(self, df: DataFrame, table: str, key: str | None = None, source: str = "frame", batch: tuple[str, int] | None = None) -> Run:
         run = Run(table)
-        self._load(run, flatten(df, table, key), source)
+        self._load(run, flatten(df, table, key), source, batch)
         self.runs.append(run)
         return run
 
-    def each_batch(self, table: str, key: str | None = None):
-        """For foreachBatch of a stream, whose checkpoint then is the source's."""
-        return lambda df, _: self.ingest_frame(df, table, key, "stream")
+    def each_batch(self, table: str, key: str | None = None, stream: str = "stream"):
+        """For foreachBatch of a stream, whose checkpoint then is the source's. Each table holds the number of the last
+        batch with its rows, so a batch that is repeated after a failure adds only what it hadn't yet."""
+        return lambda df, number: self.ingest_frame(df, table, key, stream, (stream, number))
 
 
 def deduplicated(df: DataFrame, keys: list[str], policy: str = "latest", order: Column | str | None = None) -> DataFrame:
@@ -94,3 +86,28 @@ def statistics(df: DataFrame) -> DataFrame:
         ordered = c if text is not F.lit(None) and not f.dataType.simpleString().startswith(("array", "map", "struct", "binary")) else F.lit(None).cast("string")
         parts.append(F.struct(F.lit(f.name).alias("column"), F.count("*").alias("rows"), (F.count("*") - F.count(c)).alias("nulls"), F.approx_count_distinct(F.xxhash64(c)).alias("distinct"), F.min(ordered).cast("string").alias("least"), F.max(ordered).cast("string").alias("most")))
     return df.agg(F.array(*parts).alias("s")).select(F.explode("s").alias("s")).select("s.*")
+
+
+def histogram(df: DataFrame, column: str, bins: int = 10) -> DataFrame:
+    """(bin, low, high, n): bins of equal width between the least and the largest value; the last one holds it too."""
+    c = F.col(column).cast("double")
+    ends = df.agg(F.min(c).alias("low"), F.max(c).alias("high"))
+    if ends.first()["low"] is None:
+        return df.sparkSession.createDataFrame([], "bin int, low double, high double, n long")
+    low, high = ends.first()
+    width = (high - low) / bins
+    at = F.least(F.floor((c - low) / width).cast("int"), F.lit(bins - 1)) if width else F.lit(0)
+    counted = df.filter(c.isNotNull()).groupBy(at.alias("bin")).agg(F.count("*").alias("n"))
+    return counted.select("bin", (low + F.col("bin") * width).alias("low"), (low + (F.col("bin") + 1) * width).alias("high"), "n")
+
+
+def percentiles(df: DataFrame, column: str, shares: tuple[float, ...] = (0.01, 0.25, 0.5, 0.75, 0.99), accuracy: int = 10_000) -> DataFrame:
+    """(share, value): values below which so many of the rows lie, in rank off by 1 / accuracy of them at most."""
+    found = df.agg(F.percentile_approx(column, list(shares), accuracy).alias("v"))
+    return found.select(F.posexplode(F.arrays_zip(F.array(*map(F.lit, shares)).alias("share"), F.col("v").alias("value")))).select("col.share", "col.value")
+
+
+def skew(df: DataFrame, column: str) -> DataFrame:
+    """(values, rows, most, ratio): distinct values, the rows of the most frequent one, and these against the mean."""
+    per = df.filter(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("n"))
+    return per.agg(F.count("*").alias("values"), F.sum("n").alias("rows"), F.max("n").alias("most"), (F.max("n") * F.count("*") / F.sum("n")).alias("ratio"))

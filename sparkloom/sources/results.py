@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -18,11 +18,11 @@ def sample(df: DataFrame, n: int, seed: int = 1) -> DataFrame:
 def representative(df: DataFrame, n: int, by: str, rows: int | None = None) -> DataFrame:
     """About n rows, evenly spaced in the order of a column: the first of each of n ranges of equal size.
 
-    The ranges' limits come from quantiles, so no row is numbered in one task."""
+    The ranges' limits come from quantiles, and a task keeps one row of each, so nothing is sorted."""
     cuts = df.filter(F.col(by).isNotNull()).stat.approxQuantile(by, [i / n for i in range(1, n)], 0.2 / n) if n > 1 else []
     bucket = F.array_size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c <= F.col(by))) if cuts else F.lit(0)
-    first = Window.partitionBy("_bucket").orderBy(F.col(by), F.xxhash64(F.to_json(F.struct(*df.columns))))
-    return df.withColumn("_bucket", bucket).withColumn("_rn", F.row_number().over(first)).filter("_rn = 1").drop("_bucket", "_rn")
+    first = F.min_by(F.struct(*df.columns), F.struct(F.col(by), F.xxhash64(F.to_json(F.struct(*df.columns)))))
+    return df.groupBy(bucket.alias("_bucket")).agg(first.alias("_row")).select("_row.*")
 
 
 def metadata(df: DataFrame) -> dict:
