@@ -65,6 +65,8 @@ class Policy:
     verbs: list[str] = field(default_factory=lambda: ["select"])
     max_rows: int | None = 10_000
     allow_approximate: bool = True
+    max_seconds: float | None = None
+    max_bytes: int | None = None
 
 
 OPS = {

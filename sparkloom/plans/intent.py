@@ -163,6 +163,14 @@ def build(plan: Plan, frames: dict[str, DataFrame], as_of: str | None = None) ->
     """The DataFrame of a plan. Columns are addressed by table, so equal names in two tables don't clash."""
     named = {t: frames[t].select(*[F.col(c).alias(f"{t}.{c}") for c in frames[t].columns]) for t in {plan.root, *(x for r in plan.joins for x in (r.left, r.right))}}
     col = lambda t, c: F.col(f"`{t}.{c}`")
+    # Conditions hold for a table's rows before they are joined, so a row of the other side stays without a partner.
+    for t, c, op, value in plan.filters:
+        named[t] = named[t].filter(condition(op, col(t, c), value))
+    if plan.time:
+        if as_of is None:
+            raise Rejected("a time window needs the day that it counts from")
+        t, c, name = plan.time
+        named[t] = named[t].filter(window(col(t, c), name, as_of))
     df, there, left = named[plan.root], {plan.root}, list(plan.joins)
     while left:
         rule = next(r for r in left if r.left in there or r.right in there)
@@ -171,13 +179,6 @@ def build(plan: Plan, frames: dict[str, DataFrame], as_of: str | None = None) ->
         on = col(rule.left, rule.left_key) == col(rule.right, rule.right_key)
         df = df.filter(on) if new in there else df.join(named[new], on, kind)
         there.add(new)
-    for t, c, op, value in plan.filters:
-        df = df.filter(condition(op, col(t, c), value))
-    if plan.time:
-        if as_of is None:
-            raise Rejected("a time window needs the day that it counts from")
-        t, c, name = plan.time
-        df = df.filter(window(col(t, c), name, as_of))
     keys = [col(t, c).alias(c) for t, c in plan.grain]
     if plan.metrics:
         df = df.groupBy(*keys).agg(*[METRICS[op](col(t, c) if c else F.lit(1)).alias(name) for op, t, c, name in plan.metrics])
