@@ -2,7 +2,12 @@
 
 from pyspark.sql import functions as F
 
+from sparkloom.functions import sketches
 from sparkloom.operators.registry import query, table, views
+from sparkloom.session import scratch_dir
+from sparkloom.sources import ingest
+from sparkloom.sources.materialised import Materialised
+from sparkloom.sources.store import TableStore
 
 
 @query("SELECT CAST(count(*) AS BIGINT) AS n, round(sum(o_totalprice), 2) AS s, round(avg(o_totalprice), 4) AS a, min(o_totalprice) AS lo, max(o_totalprice) AS hi FROM orders")
@@ -93,31 +98,73 @@ def agg_pivot(spark, sf):
     return counted.select("y", F.coalesce("F", F.lit(0)).alias("f"), F.coalesce("O", F.lit(0)).alias("o"))
 
 
-@query()
+@query("SELECT l_returnflag, CAST(count(DISTINCT l_partkey) AS BIGINT) AS parts, TRUE AS within FROM lineitem GROUP BY l_returnflag")
 def agg_approx_distinct(spark, sf):
-    """Registers of 2^12 or so: a relative deviation of 2 percent."""
-    return table(spark, sf, "lineitem").groupBy("l_returnflag").agg(F.approx_count_distinct("l_partkey", 0.02).alias("parts"))
+    """Registers for a relative deviation of 2 percent: the exact count, and whether the estimate is within three times that."""
+    parts = F.count_distinct("l_partkey")
+    return table(spark, sf, "lineitem").groupBy("l_returnflag").agg(parts.alias("parts"), (F.abs(F.approx_count_distinct("l_partkey", 0.02) - parts) <= 0.06 * parts).alias("within"))
 
 
-@query()
+@query("SELECT CAST(count(DISTINCT l_partkey) AS BIGINT) AS parts, TRUE AS within FROM lineitem")
 def agg_hll_sketch(spark, sf):
-    """Sketches by flag, merged over the flags: the estimate of the union."""
-    per = table(spark, sf, "lineitem").groupBy("l_returnflag").agg(F.hll_sketch_agg("l_partkey", F.lit(12)).alias("sketch"))
-    return per.agg(F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("parts"))
+    """Sketches by flag of 2^12 registers, merged over the flags, against the exact count of the union: within 5 percent,
+    three times the standard error."""
+    items = table(spark, sf, "lineitem")
+    per = items.groupBy("l_returnflag").agg(F.hll_sketch_agg("l_partkey", F.lit(12)).alias("sketch"))
+    estimate = per.agg(F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("estimate"))
+    exact = items.agg(F.count_distinct("l_partkey").alias("parts"))
+    return exact.join(F.broadcast(estimate)).select("parts", (F.abs(F.col("estimate") - F.col("parts")) <= 0.05 * F.col("parts")).alias("within"))
 
 
-@query()
+@query("SELECT l_partkey, CAST(count(*) AS BIGINT) AS n, TRUE AS within FROM lineitem GROUP BY l_partkey")
 def agg_count_min(spark, sf):
-    """A Count-Min sketch of the parts, as bytes; errors are at most eps of all rows with the given confidence."""
-    return table(spark, sf, "lineitem").agg(F.count_min_sketch("l_partkey", F.lit(0.001), F.lit(0.99), F.lit(7)).alias("sketch"))
+    """Point estimates of a Count-Min sketch: never under the exact count, and over it by a thousandth of all rows at most."""
+    items = table(spark, sf, "lineitem")
+    sketch = sketches.count_min(items, "l_partkey", 0.001, 0.999)
+    exact = items.groupBy("l_partkey").agg(F.count("*").alias("n"))
+    found = sketches.estimated(exact, "l_partkey", sketch, 0.001, 0.999).join(F.broadcast(items.agg(F.count("*").alias("rows"))))
+    return found.select("l_partkey", "n", ((F.col("estimate") >= F.col("n")) & (F.col("estimate") <= F.col("n") + 0.001 * F.col("rows"))).alias("within"))
 
 
-@query()
+@query("SELECT share, TRUE AS within FROM (VALUES (0.25::DOUBLE), (0.5), (0.75)) t(share)")
 def agg_approx_percentile(spark, sf):
-    return table(spark, sf, "orders").agg(F.percentile_approx("o_totalprice", [0.25, 0.5, 0.75], 10000).alias("q"))
+    """Whether the rank of each approximate percentile is within a hundredth of what is asked for."""
+    orders = table(spark, sf, "orders")
+    found = ingest.percentiles(orders, "o_totalprice", (0.25, 0.5, 0.75), 1000)
+    ranked = orders.select("o_totalprice").join(F.broadcast(found))
+    rank = F.avg((F.col("o_totalprice") <= F.col("value")).cast("int"))
+    return ranked.groupBy("share").agg((F.abs(rank - F.col("share")) <= 0.01).alias("within"))
+
+
+@query("SELECT l_returnflag, CAST(count(DISTINCT l_partkey) AS BIGINT) AS parts FROM lineitem GROUP BY l_returnflag")
+def agg_bitmap_distinct(spark, sf):
+    """Exact distinct whole numbers by bitmaps: a bit for each key, in buckets of 32,768, which are or-ed before they are counted."""
+    key = F.col("l_partkey")
+    held = table(spark, sf, "lineitem").groupBy("l_returnflag", F.bitmap_bucket_number(key).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(key)).alias("bits"))
+    return held.groupBy("l_returnflag").agg(F.sum(F.bitmap_count("bits")).alias("parts"))
+
+
+@query("SELECT o_custkey, CAST(count(*) AS BIGINT) AS n, round(sum(o_totalprice), 2) AS total, min(o_totalprice) AS least FROM orders GROUP BY o_custkey")
+def agg_materialised(spark, sf):
+    """A group-by kept as a table of partial results: built from one half of the rows, brought up to date with the other."""
+    orders = table(spark, sf, "orders")
+    kept = Materialised(TableStore(spark, scratch_dir(spark)), "per_customer", ["o_custkey"], {"n": ("count", "o_orderkey"), "total": ("sum", "o_totalprice"), "least": ("min", "o_totalprice")})
+    kept.add(orders.filter("o_orderkey % 2 = 0"))
+    kept.add(orders.filter("o_orderkey % 2 = 1"))
+    return kept.read().withColumn("total", F.round("total", 2))
 
 
 @query("SELECT CAST(count(*) AS BIGINT) AS n, CAST(count(*) - count(o_totalprice) AS BIGINT) AS nulls, CAST(count(DISTINCT o_orderpriority) AS BIGINT) AS distinct_priorities, min(o_totalprice) AS lo, max(o_totalprice) AS hi FROM orders")
 def stats_columns(spark, sf):
     """What a table's statistics hold, exactly."""
     return table(spark, sf, "orders").agg(F.count("*").alias("n"), (F.count("*") - F.count("o_totalprice")).alias("nulls"), F.count_distinct("o_orderpriority").alias("distinct_priorities"), F.min("o_totalprice").alias("lo"), F.max("o_totalprice").alias("hi"))
+
+
+@query("SELECT CAST(least(floor((o_totalprice - lo) / ((hi - lo) / 10)), 9) AS INTEGER) AS bin, CAST(count(*) AS BIGINT) AS n FROM orders, (SELECT min(o_totalprice) AS lo, max(o_totalprice) AS hi FROM orders) GROUP BY 1")
+def stats_histogram(spark, sf):
+    return ingest.histogram(table(spark, sf, "orders"), "o_totalprice", 10).select("bin", "n")
+
+
+@query("SELECT CAST(count(*) AS BIGINT) AS \"values\", CAST(sum(n) AS BIGINT) AS rows, CAST(max(n) AS BIGINT) AS most, round(max(n) * count(*) / sum(n), 6) AS ratio FROM (SELECT o_custkey, count(*) AS n FROM orders WHERE o_custkey IS NOT NULL GROUP BY o_custkey)")
+def stats_skew(spark, sf):
+    return ingest.skew(table(spark, sf, "orders"), "o_custkey").withColumn("ratio", F.round("ratio", 6))

@@ -7,6 +7,8 @@ from sparkloom.operators.registry import query, table, views
 
 #: Largest estimated side, in bytes, that is broadcast on request; beyond it the plan is left to the optimizer.
 BROADCAST_BYTES = 64 << 20
+#: A key is hot from this part of all rows on; places that a hot key's rows are spread over.
+HOT, SALTS = 200, 8
 _LEFT = "(SELECT * FROM VALUES (1, 'a'), (2, 'b'), (2, 'c'), (NULL, 'd') AS l(k, v))"
 _RIGHT = "(SELECT * FROM VALUES (2, 'x'), (2, 'y'), (3, 'z'), (NULL, 'w') AS r(k, w))"
 
@@ -116,14 +118,42 @@ def join_hash_hint(spark, sf):
 
 @query("SELECT p_brand, round(sum(l_quantity), 2) AS q FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY p_brand")
 def join_salted(spark, sf):
-    """A join whose hot keys are spread: the large side by a salt, the other side once for each salt."""
-    salts = 8
-    items = table(spark, sf, "lineitem").select("l_partkey", "l_quantity", F.pmod(F.xxhash64("l_orderkey", "l_linenumber"), F.lit(salts)).cast("int").alias("salt"))
-    parts = table(spark, sf, "part").select("p_partkey", "p_brand", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("part_salt"))
-    joined = items.join(parts, (F.col("l_partkey") == F.col("p_partkey")) & (F.col("salt") == F.col("part_salt")))
+    """A join whose hot keys are spread: of keys with more than a part in HOT of all rows, at most HOT, the large side's
+    rows go to SALTS places, and the other side's are there once each; all other keys are joined as they are."""
+    items, parts = table(spark, sf, "lineitem").select("l_partkey", "l_quantity", "l_orderkey", "l_linenumber"), table(spark, sf, "part").select("p_partkey", "p_brand")
+    least = items.count() // HOT
+    hot = F.broadcast(items.groupBy(F.col("l_partkey").alias("hot_key")).agg(F.count("*").alias("n")).filter(F.col("n") > least).select("hot_key"))
+    salt = F.when(F.col("hot_key").isNull(), 0).otherwise(F.pmod(F.xxhash64("l_orderkey", "l_linenumber"), F.lit(SALTS))).cast("int")
+    salts = F.when(F.col("hot_key").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    spread = items.join(hot, F.col("l_partkey") == F.col("hot_key"), "left").select("l_partkey", "l_quantity", salt.alias("salt"))
+    copied = parts.join(hot, F.col("p_partkey") == F.col("hot_key"), "left").select("p_partkey", "p_brand", F.explode(salts).alias("part_salt"))
+    joined = spread.join(copied, (F.col("l_partkey") == F.col("p_partkey")) & (F.col("salt") == F.col("part_salt")))
     return joined.groupBy("p_brand").agg(F.round(F.sum("l_quantity"), 2).alias("q"))
 
 
+@query("""WITH bought AS (SELECT DISTINCT l_partkey AS p, l_suppkey AS s, o_custkey AS c FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_quantity > 40),
+ps AS (SELECT DISTINCT p, s FROM bought), sc AS (SELECT DISTINCT s, c FROM bought), cp AS (SELECT DISTINCT c, p FROM bought)
+SELECT ps.s AS s, CAST(count(*) AS BIGINT) AS n FROM ps JOIN sc ON ps.s = sc.s JOIN cp ON cp.c = sc.c AND cp.p = ps.p GROUP BY ps.s""")
+def join_triangle(spark, sf):
+    """A cyclic join: part and supplier, supplier and customer, customer and part. The two edges of a part that are few
+    for each part meet first, and the third edge is a semi-join on both its ends, so no two-edge path is widened by it."""
+    items = table(spark, sf, "lineitem").filter("l_quantity > 40").select("l_orderkey", F.col("l_partkey").alias("p"), F.col("l_suppkey").alias("s"))
+    bought = items.join(table(spark, sf, "orders").select("o_orderkey", F.col("o_custkey").alias("c")), F.col("l_orderkey") == F.col("o_orderkey"))
+    edge = lambda *ends: bought.select(*ends).distinct()
+    closed = edge("p", "s").join(edge("c", "p"), "p").join(edge("s", "c"), ["s", "c"], "left_semi")
+    return closed.groupBy("s").agg(F.count("*").alias("n"))
+
+
+@query("SELECT c_mktsegment, CAST(count(*) AS BIGINT) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey WHERE c_acctbal > 9000 GROUP BY c_mktsegment")
+def join_bloom(spark, sf):
+    """A selective small side behind two shuffled joins: where the sides are large, a Bloom filter of its keys runs over
+    the large scan before it is shuffled (a setting of the session; a test shows the plan)."""
+    t = lambda n: table(spark, sf, n)
+    rich = t("customer").filter("c_acctbal > 9000")
+    joined = t("lineitem").join(t("orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(rich, F.col("o_custkey") == F.col("c_custkey"))
+    return joined.groupBy("c_mktsegment").agg(F.count("*").alias("n"))
+
+
 @query(_sql(""))
 def join_null_keys(spark, sf):
     return _join(spark, "inner")

@@ -10,9 +10,11 @@ def scan_projection(spark, sf):
     return table(spark, sf, "orders").select("o_orderkey", "o_totalprice")
 
 
-@query("SELECT o_orderkey, o_totalprice, round(o_totalprice * 1.1, 2) AS gross, o_orderstatus || '-' || o_orderpriority AS tag FROM orders")
+@query("SELECT o_orderkey, o_totalprice, CAST(round(CAST(o_totalprice AS DECIMAL(15, 4)) * CAST(1.1 AS DECIMAL(2, 1)), 2) AS DOUBLE) AS gross, o_orderstatus || '-' || o_orderpriority AS tag FROM orders")
 def project_expressions(spark, sf):
-    return table(spark, sf, "orders").select("o_orderkey", "o_totalprice", F.round(F.col("o_totalprice") * 1.1, 2).alias("gross"), F.concat("o_orderstatus", F.lit("-"), "o_orderpriority").alias("tag"))
+    """Money is rounded as a decimal: ties of a double product fall as its last bit does."""
+    gross = F.round(F.col("o_totalprice").cast("decimal(15, 4)") * F.lit(1.1).cast("decimal(2, 1)"), 2).cast("double")
+    return table(spark, sf, "orders").select("o_orderkey", "o_totalprice", gross.alias("gross"), F.concat("o_orderstatus", F.lit("-"), "o_orderpriority").alias("tag"))
 
 
 @query("SELECT c_custkey, c_name FROM customer WHERE c_mktsegment = 'BUILDING'")
