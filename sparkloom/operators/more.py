@@ -33,19 +33,33 @@ def ingest_dedupe_latest(spark, sf):
     return ingest.deduplicated(rows, ["o_custkey"], "latest", order).select("o_custkey", "o_orderkey")
 
 
-@query()
+def _column_stats(name, kind):
+    return f"SELECT '{name}' AS \"column\", CAST(count(*) AS BIGINT) AS rows, CAST(count(*) - count({name}) AS BIGINT) AS nulls, TRUE AS near, CAST(CAST(min({name}) AS {kind}) AS VARCHAR) AS least, CAST(CAST(max({name}) AS {kind}) AS VARCHAR) AS most FROM orders"
+
+
+@query(" UNION ALL ".join(_column_stats(n, k) for n, k in (("o_orderkey", "BIGINT"), ("o_custkey", "BIGINT"), ("o_orderstatus", "VARCHAR"), ("o_orderpriority", "VARCHAR"))))
 def stats_table(spark, sf):
-    return ingest.statistics(table(spark, sf, "orders"))
+    """Statistics of a table's columns in one pass; near: the estimate of distinct values is within 15 percent, three
+    times its deviation, of the exact number."""
+    orders = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")
+    exact = orders.agg(F.array(*[F.struct(F.lit(c).alias("of"), F.count_distinct(c).alias("n")) for c in orders.columns]).alias("e")).select(F.explode("e").alias("e")).select("e.*")
+    found = ingest.statistics(orders).join(F.broadcast(exact), F.col("column") == F.col("of"))
+    return found.select("column", "rows", "nulls", (F.abs(F.col("distinct") - F.col("n")) <= 0.15 * F.col("n")).alias("near"), "least", "most")
 
 
-@query()
+@query("SELECT CAST(least(20, count(*)) AS BIGINT) AS rows, TRUE AS known, TRUE AS repeats FROM orders")
 def result_sample(spark, sf):
-    return results.sample(table(spark, sf, "orders"), 20)
+    """The size of a sample, whether all its rows are the table's, and whether it comes out the same again."""
+    orders = table(spark, sf, "orders")
+    one, two = results.sample(orders, 20), results.sample(orders.repartition(3), 20)
+    return one.agg(F.count("*").alias("rows")).select("rows", F.lit(one.join(orders, orders.columns, "left_anti").isEmpty()).alias("known"), F.lit(one.exceptAll(two).isEmpty()).alias("repeats"))
 
 
-@query()
+@query("SELECT 'count' AS summary, CAST(count(o_totalprice) AS DOUBLE) AS v FROM orders UNION ALL SELECT 'min', min(o_totalprice) FROM orders UNION ALL SELECT 'max', max(o_totalprice) FROM orders UNION ALL SELECT 'mean', round(avg(o_totalprice), 4) FROM orders UNION ALL SELECT 'stddev', round(stddev_samp(o_totalprice), 4) FROM orders")
 def result_summary(spark, sf):
-    return results.summary(table(spark, sf, "orders").select("o_totalprice"))
+    found = results.summary(table(spark, sf, "orders").select("o_totalprice")).filter(F.col("summary").isin("count", "mean", "stddev", "min", "max"))
+    v = F.col("o_totalprice").cast("double")
+    return found.select("summary", F.when(F.col("summary").isin("mean", "stddev"), F.round(v, 4)).otherwise(v).alias("v"))
 
 
 def _world(frames):

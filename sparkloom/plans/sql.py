@@ -67,16 +67,16 @@ _views = threading.RLock()
 def replaced(spark: SparkSession, frames: dict[str, DataFrame]) -> Iterator[None]:
     """While it lasts, names stand for other frames; what was analysed meanwhile keeps them. One at a time."""
     with _views:
-        views = {t.name for t in spark.catalog.listTables() if t.isTemporary} if frames else set()
-        before = {name: spark.table(name) for name in frames if name in views}
+        catalog = spark._jsparkSession.sessionState().catalog()
+        before = {name: catalog.getRawTempView(name) for name in frames}
         try:
             for name, df in frames.items():
                 df.createOrReplaceTempView(name)
             yield
         finally:
-            for name in frames:
-                if name in before:
-                    before[name].createOrReplaceTempView(name)
+            for name, view in before.items():
+                if view.isDefined():
+                    catalog.createTempView(name, view.get(), True)
                 else:
                     spark.catalog.dropTempView(name)
 
@@ -126,12 +126,12 @@ def execute(spark: SparkSession, request: Request, view_samples: tuple[str, ...]
     timer = None
     tag = f"request-{request.session}-{threading.get_ident()}"
     if request.max_seconds is not None:
-        spark.addTag(tag)
-        timer = threading.Timer(request.max_seconds, lambda: spark.interruptTag(tag))
+        spark.sparkContext.addJobTag(tag)
+        timer = threading.Timer(request.max_seconds, lambda: spark.sparkContext.cancelJobsWithTag(tag))
         timer.start()
     try:
         for name in view_samples if request.mode == "approx" else ():
-            frames[name] = frames.get(name, spark.table(name)).sample(request.fraction, seed=11)
+            frames[name] = frames.get(name, spark.table(name)).sample(fraction=request.fraction, seed=11)
         with replaced(spark, frames):
             df = run(spark, request.sql)
         if request.max_bytes is not None and (held := scanned_bytes(df)) > request.max_bytes:
@@ -144,4 +144,4 @@ def execute(spark: SparkSession, request: Request, view_samples: tuple[str, ...]
     finally:
         if timer:
             timer.cancel()
-            spark.removeTag(tag)
+            spark.sparkContext.removeJobTag(tag)

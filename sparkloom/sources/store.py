@@ -68,7 +68,10 @@ class TableStore:
         """The table, or one of its earlier versions. Columns that a fragment lacks are null."""
         held = self.version(name, version)
         schema = T.StructType.fromJson(held["schema"])
-        return self.spark.read.schema(schema).parquet(*[f"{self.root}/{name}/{p}" for p in held["parts"]]).select(*[f"`{f.name}`" for f in schema]) if held["parts"] else self.spark.createDataFrame([], schema)
+        if not held["parts"]:
+            return self.spark.createDataFrame([], schema)
+        found = self.spark.read.schema(schema).option("basePath", f"{self.root}/{name}/data").parquet(*[f"{self.root}/{name}/data/{p}" for p in held["parts"]])
+        return found.select(*[f"`{f.name}`" for f in schema])
 
     def _publish(self, name: str, version: dict) -> None:
         if self.pending is not None:
@@ -81,8 +84,8 @@ class TableStore:
         return int(versions[-1].split(".")[0]) + 1 if versions else 0
 
     def _fragment(self, name: str, df: DataFrame, by: list[str]) -> str:
-        part = uuid.uuid4().hex
-        df.write.partitionBy(*by).parquet(f"{self.root}/{name}/{part}") if by else df.write.parquet(f"{self.root}/{name}/{part}")
+        part = f"fragment__={uuid.uuid4().hex}"
+        (df.write.partitionBy(*by) if by else df.write).parquet(f"{self.root}/{name}/data/{part}")
         return part
 
     def _replace(self, name: str, df: DataFrame, **more) -> None:

@@ -1,17 +1,21 @@
 """Sources, store, ingestion, results, governance, intents, SQL requests and streams, by hand-computed answers."""
 
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
-from sparkloom.functions import scalars, vectors
+from sparkloom.functions import scalars, sketches, vectors
+from sparkloom.operators import QUERIES
 from sparkloom.plans import sql
 from sparkloom.plans.governance import FilterRule, JoinRule, Policy, Rejected, World
 from sparkloom.plans.intent import Filter, Intent, Metric, answer, compile_intent, window
 from sparkloom.sources import connectors, files, ingest, results
 from sparkloom.sources.flatten import common_type, evolution, flatten, merged
+from sparkloom.sources.materialised import Materialised
 from sparkloom.sources.store import TableStore
+from sparkloom.sources.vector_index import VectorIndex
 from sparkloom.streaming import events
 
 
@@ -207,3 +211,184 @@ def test_hashed_search_recall(spark, sf):
         shares.append(len(got[i] & {int(x) for x in order[order != i][:10]}) / 10)
     print("recall", sf, sum(shares) / len(shares), min(shares))
     assert sum(shares) / len(shares) >= 0.9
+
+
+def test_store_survives_writers_that_stop(spark, tmp_path, monkeypatch):
+    """Inserts leave the fragments that are there; whatever stops a writer, readers find the last whole version."""
+    store = TableStore(spark, str(tmp_path))
+    store.create("t", "k long, v string")
+    assert store.insert("t", [(1, "a"), (2, "b")]) == 2
+    first = store.version("t")["parts"]
+    assert store.insert("t", [(3, "c")]) == 1 and store.version("t")["parts"][:1] == first and len(store.version("t")["parts"]) == 2
+    monkeypatch.setattr(TableStore, "_put", lambda *a: (_ for _ in ()).throw(OSError("stopped")))
+    for statement in (lambda: store.insert("t", [(4, "d")]), lambda: store.delete("t", F.col("k") > 0), lambda: store.update("t", {"v": "z"}), lambda: store.rollback("t")):
+        with pytest.raises(OSError):
+            statement()
+        assert rows(TableStore(spark, str(tmp_path)).read("t")) == [(1, "a"), (2, "b"), (3, "c")]
+    monkeypatch.undo()
+    with pytest.raises(OSError):
+        store._put(f"{tmp_path}/t/versions/{store.history('t')[-1]}", "{}")
+    assert store.compact("t") == 2 and len(store.version("t")["parts"]) == 1 and store.read("t").count() == 3
+    store.evolve("t", spark.createDataFrame([(9, 1.5)], "k long, w double"))
+    assert len(store.version("t")["parts"]) == 2 and rows(store.read("t"))[-1] == (9, None, 1.5)
+    assert store.delete("t") == 4 and store.read("t").count() == 0
+    store.create("one", "k long")
+    with pytest.raises(ValueError):
+        store.rollback("one")
+    assert store.read("one").columns == ["k"]
+
+
+def test_repeated_batches_add_nothing(spark, tmp_path):
+    loader = ingest.Ingestion(TableStore(spark, str(tmp_path)))
+    handle = loader.each_batch("t", "id")
+    batch = connectors.payload_frame(spark, ['{"id": 1, "items": [{"p": 1}]}', '{"id": 2, "items": []}'])
+    for number in (0, 0, 1, 1):
+        handle(batch, number)
+    assert loader.store.read("t").count() == 4 and loader.store.read("t__items").count() == 2
+    kept = Materialised(loader.store, "m", ["id"], {"n": ("count", "id"), "top": ("max", "id")})
+    for number in (0, 0, 1):
+        kept.add(batch, ("s", number))
+    assert rows(kept.read()) == [(1, 2, 1), (2, 2, 2)]
+    kept.compact()
+    assert rows(kept.read()) == [(1, 2, 1), (2, 2, 2)] and loader.store.read("m").count() == 2
+
+
+def test_requests_leave_no_trace(spark):
+    """Exact after approx is exact; a role's limits, verbs, tables and columns hold; views are put back, errors or not."""
+    spark.range(10_000).selectExpr("id", "id * 2 AS secret").createOrReplaceTempView("many")
+    count = lambda **more: sql.execute(spark, sql.Request("SELECT count(*) AS n FROM many", **more), ("many",))[0]["n"]
+    got = [count(mode=m) for m in ("approx", "exact", "approx", "exact", "approx")]
+    assert got[1] == got[3] == 10_000 and all(500 < n < 1500 for n in got[::2])
+    with pytest.raises(Exception):  # noqa: B017
+        sql.execute(spark, sql.Request("SELECT nothing FROM many", mode="approx"), ("many",))
+    assert count() == 10_000
+    world = World()
+    world.register("many", spark.table("many"))
+    world.register("others", spark.table("many"))
+    world.policies["reader"] = Policy("reader", ["many"], {"many": ["secret"]}, max_rows=5, max_bytes=1 << 40, allow_approximate=False)
+    ask = lambda text, **more: sql.execute(spark, sql.Request(text, **more), (), world, "reader")
+    assert len(ask("SELECT * FROM many")) == 5 and ask("SELECT * FROM many")[0].asDict().keys() == {"id"}
+    for text, more in (("SELECT secret FROM many", {}), ("SELECT * FROM others", {}), ("DROP VIEW many", {}), ("SELECT 1; INSERT INTO many VALUES (1, 2)", {}), ("SELECT id FROM many", {"mode": "approx"}), ("SELECT id FROM many", {"max_bytes": 1})):
+        with pytest.raises(Exception):  # noqa: B017
+            ask(text, **more)
+    assert spark.table("many").columns == ["id", "secret"] and world.audit[-1]["role"] == "reader"
+    spark.udf.register("slow", lambda i: __import__("time").sleep(20) or i, "long")
+    with pytest.raises(Exception):  # noqa: B017
+        sql.execute(spark, sql.Request("SELECT slow(id) AS x FROM many LIMIT 1; SELECT 1 AS x", max_seconds=2))
+
+
+def _scan(df, what):
+    """A metric of the scans of a plan that has run."""
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan()
+    plan = plan.executedPlan() if hasattr(plan, "executedPlan") and "Adaptive" in plan.getClass().getSimpleName() else plan
+    leaves = plan.collectLeaves()
+    return sum(leaves.apply(i).metrics().apply(what).value() for i in range(leaves.size()) if leaves.apply(i).metrics().contains(what))
+
+
+def test_pruning(spark, tmp_path):
+    """Filters on partition columns read their directories only; on sorted columns, their row groups only."""
+    df = spark.range(200_000).selectExpr("id", "id % 10 AS part", "cast(id AS string) AS text")
+    files.write_parquet(df, f"{tmp_path}/by", partition_by=["part"], codec="zstd")
+    found = files.read_parquet(spark, f"{tmp_path}/by").filter("part = 3 AND id < 100")
+    assert "PartitionFilters: [isnotnull(part" in found._jdf.queryExecution().toString() and found.count() == 10
+    assert _scan(found, "numFiles") < _scan(files.read_parquet(spark, f"{tmp_path}/by"), "numFiles") / 5
+    spark.conf.set("parquet.block.size", 1 << 16)
+    spark._jsc.hadoopConfiguration().setInt("parquet.block.size", 1 << 16)
+    try:
+        files.write_parquet(df.select("id", "text"), f"{tmp_path}/sorted", sort_by=["id"])
+    finally:
+        spark.conf.unset("parquet.block.size")
+        spark._jsc.hadoopConfiguration().unset("parquet.block.size")
+    narrow = files.read_parquet(spark, f"{tmp_path}/sorted").filter("id BETWEEN 5000 AND 5100")
+    assert "PushedFilters: [IsNotNull(id), GreaterThanOrEqual(id,5000)" in narrow._jdf.queryExecution().toString()
+    assert narrow.count() == 101 and _scan(narrow, "numOutputRows") < 100_000
+    store = TableStore(spark, f"{tmp_path}/store")
+    store.create("t", "id long, part long", partition_by=["part"])
+    store.insert("t", df.select("id", "part"))
+    store.insert("t", [(-1, 3)])
+    assert store.read("t").filter("part = 3").count() == 20_001 and "PartitionFilters: [isnotnull(part" in store.read("t").filter("part = 3")._jdf.queryExecution().toString()
+
+
+def test_bloom_filter_at_run_time(spark, sf_dir):
+    """With thresholds for small tables the large scan is thinned by a filter of the small side's keys."""
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.optimizer.runtime.bloomFilter.enabled": "true", "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "0", "spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold": "10GB"}
+    before = {k: spark.conf.get(k) for k in settings}
+    plain = rows(QUERIES["join_bloom"](spark, sf_dir))
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        df = QUERIES["join_bloom"](spark, sf_dir)
+        assert "might_contain" in df._jdf.queryExecution().optimizedPlan().toString() and rows(df) == plain
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_arrow_stream_of_nulls(spark):
+    df = spark.createDataFrame([(None, None)] * 3 + [(1, ["a"])], "k long, v array<string>").coalesce(1)
+    batches = list(files.arrow_stream(df, 2))
+    assert [b.num_rows for b in batches] == [2, 2] and batches[0].schema == batches[1].schema and batches[1].column("v").to_pylist() == [None, ["a"]]
+    assert [b.num_rows for b in files.arrow_stream(df.limit(0))] == [0]
+
+
+def test_vector_index(spark, tmp_path):
+    """Recall of a kept index over all rows whose id is divisible by 20, against brute force, with part of the lists read."""
+    import numpy as np
+
+    df = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+    VectorIndex.build(df.select("vec_id", "embedding", F.lit(1).alias("list")), str(tmp_path))
+    index = VectorIndex.load(spark, str(tmp_path))
+    held = sorted((r["vec_id"], r["embedding"]) for r in df.collect())
+    ids, all_ = np.array([i for i, _ in held]), np.array([v for _, v in held], float)
+    all_ /= np.linalg.norm(all_, axis=1, keepdims=True)
+    probes = [(i, v) for i, v in held if i % 20 == 0]
+    got = {}
+    for r in index.search(probes, 10).collect():
+        got.setdefault(r["probe"], set()).add(r["vec_id"])
+    hits = []
+    for i, _ in probes:
+        score = all_ @ all_[ids == i][0]
+        score[ids == i] = -9
+        hits.append(len(got[i] & set(ids[np.argsort(-score, kind="stable")[:10]].tolist())) / 10)
+    assert np.mean(hits) >= 0.9 and index.reads < len(index.centres)
+    assert re.search(r"PartitionFilters: \[[^\]]*list#\d+ IN", index.search(probes[:1], 10)._jdf.queryExecution().toString())
+
+
+def test_intent_conditions_keep_rows_without_partners(spark):
+    left, right = spark.createDataFrame([(1,), (2,)], "a long"), spark.createDataFrame([(1, "x"), (2, "y")], "b long, w string")
+    world = World()
+    world.register("l", left)
+    world.register("r", right)
+    world.add_join(JoinRule("l", "r", "a", "b", "left", "approved"))
+    found = answer(world, {"l": left, "r": right}, Intent([Metric("count", "a", "n")], ["w"], [Filter("w", "eq", "x")]))
+    assert rows(found) == [("x", 1), (None, 1)] or rows(found) == [(None, 1), ("x", 1)]
+
+
+def test_statistics_of_odd_columns(spark):
+    df = spark.createDataFrame([(1, 5.0), (1, 5.0), (2, None), (None, 5.0)], "k long, x double")
+    assert rows(ingest.histogram(df, "x")) == [(0, 5.0, 5.0, 3)] and rows(ingest.skew(df, "k")) == [(2, 3, 2, pytest.approx(4 / 3))]
+    assert ingest.histogram(df.filter("false"), "x").count() == 0 and len(rows(ingest.percentiles(df, "x"))) == 5
+    keys = spark.range(1000).selectExpr("id % 50 AS k")
+    both = sketches.united(sketches.count_min(keys, "k"), sketches.count_min(keys.filter("k = 7"), "k"))
+    got = {r["k"]: r["estimate"] for r in sketches.estimated(spark.createDataFrame([(7,), (8,), (999,)], "k long"), "k", both).collect()}
+    assert got == {7: 40, 8: 20, 999: 0}
+
+
+def test_entry_without_the_subpackage(tmp_path):
+    """A copy without the training-data operators imports; one with a broken module in them doesn't."""
+    import pathlib
+    import shutil
+    import subprocess
+    import sys
+
+    root = pathlib.Path(__file__).parent.parent
+    shutil.copytree(root / "sparkloom", tmp_path / "sparkloom", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(root / "__spark_entry__.py", tmp_path)
+    run = lambda: subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()), any(n.startswith('op1_') for n in e.queries()))"], cwd=tmp_path, capture_output=True, text=True, check=False)
+    assert run().stdout.split()[1] == "False"
+    (tmp_path / "sparkloom/llm").mkdir()
+    (tmp_path / "sparkloom/llm/__init__.py").write_text("")
+    (tmp_path / "sparkloom/llm/queries.py").write_text("import no_such_module")
+    (tmp_path / "corpus_pipeline.py").write_text("")
+    assert run().returncode
