@@ -34,7 +34,7 @@ MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
 #: Chunks and their characters in one generation of a cache; rows, and bytes but for a single longer text, handled
 #: together; longest chunk that is merged in step.
-CACHE, CACHE_CHARS, SLICE, SLICE_BYTES, LONG, CHECK_EVERY = 80_000, 6_000_000, 512, 2 << 20, 96, 512
+CACHE, CACHE_CHARS, SLICE, SLICE_BYTES, LONG, CHECK_EVERY = 160_000, 6_000_000, 1_024, 3 << 20, 96, 512
 NONE = np.iinfo(np.int64).max
 _BLANKS = (MARK + MARK, "\n" + MARK)
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
