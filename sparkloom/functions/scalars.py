@@ -28,6 +28,7 @@ FUNCTIONS: dict[str, tuple[Callable[..., Column], int, int]] = {
     "mod": (lambda a, b: a % b, 2, 2),
     "coalesce": (F.coalesce, 1, 99),
     "ifnull": (F.ifnull, 2, 2),
+    "isnull": (lambda x, other=None: F.isnull(x) if other is None else F.ifnull(x, other), 1, 2),
     "nullif": (F.nullif, 2, 2),
     "greatest": (F.greatest, 2, 99),
     "least": (F.least, 2, 99),
@@ -36,7 +37,7 @@ FUNCTIONS: dict[str, tuple[Callable[..., Column], int, int]] = {
     "bitwise_xor": (lambda a, b: a.bitwiseXOR(b), 2, 2),
     "bitwise_not": (F.bitwise_not, 1, 1),
 }
-ALIASES = {"substr": "substring", "len": "length", "ucase": "upper", "lcase": "lower", "ceiling": "ceil", "pow": "power", "isnull": "ifnull"}
+ALIASES = {"substr": "substring", "len": "length", "ucase": "upper", "lcase": "lower", "ceiling": "ceil", "pow": "power"}
 
 
 def call(name: str, *args: Column | int) -> Column:

@@ -213,6 +213,17 @@ class World:
     def derived(self, table: str, sources: list[str], how: str) -> None:
         self.lineage.append({"table": table, "sources": sources, "how": how})
 
+    def flush(self, store, audit: str = "audit_log", lineage: str = "lineage_log") -> int:
+        """Appends the notes and lineage held here to two tables of a store and forgets them; how many there were. Each is
+        a time, where it has one, and its JSON."""
+        noted = 0
+        for name, held in ((audit, self.audit), (lineage, self.lineage)):
+            if held:
+                store.create(name, "at string, what string", if_not_exists=True)
+                noted += store.insert(name, [(x.get("at"), json.dumps(x, default=str)) for x in held])
+                held.clear()
+        return noted
+
     def pack(self, role: str | None = None, frames: dict[str, DataFrame] | None = None, samples: int = 0) -> dict:
         """All of it for a planner: tables, rules, ways between tables, and samples of rows."""
         names = [n for n in self.tables if role is None or self.policy(role).tables is None or n in self.policy(role).tables]

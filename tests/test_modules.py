@@ -392,3 +392,22 @@ def test_entry_without_the_subpackage(tmp_path):
     (tmp_path / "sparkloom/llm/queries.py").write_text("import no_such_module")
     (tmp_path / "corpus_pipeline.py").write_text("")
     assert run().returncode
+
+
+def test_notes_outlive_the_process(spark, tmp_path):
+    world, store = World(), TableStore(spark, str(tmp_path))
+    world.note(role="reader", refused="no")
+    world.derived("a", ["b"], "join")
+    assert world.flush(store) == 2 and world.flush(store) == 0 and not world.audit
+    world.note(role="other")
+    assert world.flush(store) == 1 and [json.loads(r["what"])["role"] for r in store.read("audit_log").orderBy("at").collect()] == ["reader", "other"]
+
+
+def test_functions_at_their_edges(spark):
+    """Starts of zero and below, roots of negative numbers, division by zero, and ISNULL in both forms."""
+    df = spark.createDataFrame([("hello", -4.0, 0, None)], "s string, x double, z int, n int")
+    got = df.select(*[scalars.call("substring", F.col("s"), F.lit(i), F.lit(3)).alias(f"s{i}") for i in (-3, 0, 1, 9)], scalars.call("isnull", F.col("n")).alias("i1"), scalars.call("isnull", F.col("n"), F.lit(7)).alias("i2")).first()
+    assert list(got) == ["llo", "hel", "hel", "", True, 7]
+    assert str(df.select(scalars.call("sqrt", F.col("x"))).first()[0]) == "nan"
+    with pytest.raises(Exception, match="DIVIDE_BY_ZERO|REMAINDER_BY_ZERO|zero"):
+        df.select(scalars.call("mod", F.lit(5), F.col("z"))).collect()
