@@ -214,12 +214,12 @@ def filter_ops(spark, sf):
     return table(spark, sf, "orders").agg(F.array(*counts).alias("c")).select(F.explode("c").alias("c")).select("c.*")
 
 
-@query("SELECT c_mktsegment, round(sum(c_acctbal), 2) AS s, CAST(count(c_acctbal) AS BIGINT) AS n, round(avg(c_acctbal), 4) AS a, min(c_acctbal) AS lo, max(c_acctbal) AS hi, CAST(count(DISTINCT c_nationkey) AS BIGINT) AS d FROM customer GROUP BY c_mktsegment")
+@query("SELECT c_mktsegment, round(sum(c_acctbal), 2) AS s, CAST(count(c_acctbal) AS BIGINT) AS n, round(avg(c_acctbal), 9) AS a, min(c_acctbal) AS lo, max(c_acctbal) AS hi, CAST(count(DISTINCT c_nationkey) AS BIGINT) AS d FROM customer GROUP BY c_mktsegment")
 def metric_ops(spark, sf):
     """Every metric of an intent."""
     world, frames = _world(spark, sf, "customer")
     metrics = [Metric(op, "c_acctbal", name) for op, name in (("sum", "s"), ("count", "n"), ("avg", "a"), ("min", "lo"), ("max", "hi"))] + [Metric("distinct_count", "c_nationkey", "d")]
-    return answer(world, frames, Intent(metrics, ["c_mktsegment"])).withColumns({"s": F.round("s", 2), "a": F.round("a", 4)})
+    return answer(world, frames, Intent(metrics, ["c_mktsegment"])).withColumns({"s": F.round("s", 2), "a": F.round("a", 9)})
 
 
 _WINDOWS = {"last_30_days": ("DATE '1996-05-17'", "DATE '1996-06-16'"), "last_month": ("DATE '1996-05-01'", "DATE '1996-06-01'"), "this_month": ("DATE '1996-06-01'", "DATE '1996-07-01'"), "last_year": ("DATE '1995-01-01'", "DATE '1996-01-01'"), "this_year": ("DATE '1996-01-01'", "DATE '1997-01-01'"), "today": ("DATE '1996-06-15'", "DATE '1996-06-16'")}
